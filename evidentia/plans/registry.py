@@ -1,15 +1,8 @@
-"""All core queries by name."""
+"""All core queries by name, and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from evidentia.plans.core import queries
+from evidentia.plans.sql import oracle_sql
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["oracle_sql", "queries"]
