@@ -168,8 +168,8 @@ def _top(source: str, score: str, where: str = "true") -> str:
 
 
 def _rerank(scorer: str, weight: float) -> str:
-    return f"""select q_id, cand_idx, quote_id, base_rank, row_number() over (partition by q_id order by round({1 - weight}::double * {scaled("score")}
-        + {weight}::double * {scaled("rr")}, 6) desc, base_rank) as rank from (select *, {scorer} as rr from base10)"""
+    return f"""select q_id, cand_idx, quote_id, base_rank, row_number() over (partition by q_id order by round({1 - weight}::double * sn
+        + {weight}::double * rn, 6) desc, base_rank) as rank from (select *, {scaled("score")} as sn, {scaled("rr")} as rn from (select *, {scorer} as rr from base10))"""
 
 
 def _jaccard(a: str, b: str) -> str:
@@ -247,11 +247,11 @@ QUERIES: dict[str, str] = {
         min(case method when 'bm25' then rank else 1000000 + rank end) as seen from lists group by all)
       select q_id, cand_idx, rank, rrf from (select q_id, cand_idx, round(rrf, 9) as rrf, row_number() over (partition by q_id order by round(rrf, 9) desc, seen) as rank from x) where rank <= 10""",
     "quota_union": """with a as (select * from lists where method = 'bm25'), b as (select * from lists where method = 'dense'),
-      p1 as (select q_id, cand_idx, rank as at from a where rank <= 2),
-      p2 as (select q_id, cand_idx, 1000 + row_number() over (partition by q_id order by rank) as at from b where (q_id, cand_idx) not in (select q_id, cand_idx from p1) qualify at <= 1002),
+      p1 as (select q_id, cand_idx, rank as at_ from a where rank <= 2),
+      p2 as (select q_id, cand_idx, 1000 + row_number() over (partition by q_id order by rank) as at_ from b where (q_id, cand_idx) not in (select q_id, cand_idx from p1) qualify at_ <= 1002),
       p12 as (select * from p1 union all select * from p2),
-      p3 as (select q_id, cand_idx, 2000 + row_number() over (partition by q_id order by rank) as at from a where (q_id, cand_idx) not in (select q_id, cand_idx from p12))
-      select q_id, cand_idx, row_number() over (partition by q_id order by at) as rank from (select * from p12 union all select * from p3) qualify rank <= 5""",
+      p3 as (select q_id, cand_idx, 2000 + row_number() over (partition by q_id order by rank) as at_ from a where (q_id, cand_idx) not in (select q_id, cand_idx from p12))
+      select q_id, cand_idx, row_number() over (partition by q_id order by at_) as rank from (select * from p12 union all select * from p3) qualify rank <= 5""",
     "submission_rrf": """with x as (select q_id, quote_id, sum(w / (60 + rank)) as rrf, min(l * 1000000 + rank) as seen from (
           select q_id, unnest(answer) as quote_id, generate_subscripts(answer, 1) as rank, case method when 'bm25' then 1.0::double else 2.0::double end as w,
             case method when 'bm25' then 0 else 1 end as l from ab) group by all)
