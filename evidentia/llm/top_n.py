@@ -70,7 +70,9 @@ def best_of_groups(rows: DataFrame, groups: list[str], item: str, n: int = 5, fa
     for i, p in reversed(list(enumerate(_PARTS))):
         value = F.when(F.col("part") == i, F.col(p)).otherwise(value)
     width = F.when((F.col("part") >= 0) & (F.col("part") < len(_PARTS)), F.col("hi") - F.col("lo") + 1)
-    slot = F.coalesce(F.floor((value - F.col("lo")) * fan / width), F.lit(0)).cast("int").alias("slot")
+    slot = F.floor((value - F.col("lo")) * fan / width)
+    # Rows that are kept lie above the range.
+    slot = F.coalesce(F.least(F.greatest(slot, F.lit(0)), F.lit(fan)), F.lit(0)).cast("int").alias("slot")
 
     def meet(rows: DataFrame, facts: DataFrame) -> DataFrame:
         met = rows.where("hot").join(F.broadcast(facts.where("hot")), on)
