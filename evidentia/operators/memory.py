@@ -49,7 +49,7 @@ def keyed(pool: DataFrame, names: tuple[str, ...] = tuple(KEYS)) -> DataFrame:
     pool = pool.withColumn("content_md5", F.when(text != "", F.md5(text)))
 
     def key(parts: tuple[str, ...]) -> Column:
-        values = [F.coalesce(F.col(p).cast("string"), F.lit("\x00null")) for p in parts]
+        values = [F.coalesce(F.col(p).cast("string"), F.lit("\x02null")) for p in parts]
         return F.concat_ws("\x01", *values)
 
     made = [F.struct(F.lit(n).alias("key_name"), key(KEYS[n]).alias("key")) for n in names if "content_md5" not in KEYS[n]]

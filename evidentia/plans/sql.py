@@ -220,6 +220,15 @@ QUERIES: dict[str, str] = {
       select q_id, cand_idx, round(score + 0.1::double * {scaled("p")} + 0.05::double * {scaled("l")}, 6) as dense from x""",
     "hybrid_top5": _top("fu", "0.35::double * bm25_norm + 0.65::double * dense_norm"),
     "typed_hybrid_top5": _top("fu", "0.35::double * bm25_norm + 0.65::double * dense_norm + 0.35::double * type_score_norm"),
+    "memory_table": "select key_name, md5(key) as key, c as candidate_cnt, g as gold_cnt from mem",
+    "streamed_memory": f"select key_name, md5(key) as key, c as candidate_cnt, g as gold_cnt from mem where key_name in ({', '.join(repr(k) for k in M.PRECISE)})",
+    "llm_parse": r"""with x as (select q_id, cand_idx, gold, list_filter(list_distinct_ordered, lambda g: list_contains(gold, g)) as ids from (
+          select q_id, cand_idx, gold, case when cand_idx % 2 = 0 then gold
+            else regexp_extract_all('I choose text1, image2 and ' || gold[1] || ' and text1. ' || content, '\b(?:text|image)\d+\b') end as said from pool where len(gold) > 0) y,
+        lateral (select list(v order by i) as list_distinct_ordered from (select v, min(i) as i from (select unnest(y.said) as v, generate_subscripts(y.said, 1) as i) group by v)) z)
+      select q_id, cand_idx, coalesce(array_to_string(ids, ' '), '') as ids from x""",
+    "records_round_trip": """select q_id, row_number() over (partition by q_id order by modality desc, cand_idx) - 1 as cand_idx, quote_id, modality, page_id
+      from c where cand_idx < 100 and modality in ('text', 'image')""",
     "memory_precision_loo": f"select q_id, cand_idx, key_name, round(precision, 6) as precision, round(support, 6) as support from rr where key_name in ({', '.join(repr(k) for k in R.PRECISIONS)})",
     "memory_scores": "select q_id, cand_idx, round(memory, 6) as memory, round(precise, 6) as precise from dm",
     "memory_scores_loo": f"""select d.q_id, d.cand_idx, round(coalesce(sum({_weights(M.MEMORY)} * precision * support), 0.0::double), 6) as memory,
