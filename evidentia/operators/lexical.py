@@ -16,14 +16,14 @@ def bm25(pool: DataFrame, query: str, document: str, keys: tuple[str, ...] = ("q
     """
     rows = pool.select(*keys, X.tokens(query).alias("q"), X.tokens(document).alias("d"))
     counted = F.transform(
-        F.array_distinct("q"),
+        F.array_intersect("q", "d"),
         lambda t: F.struct(
             t.alias("term"),
             F.size(F.filter("d", lambda x: x == t)).alias("tf"),
             F.size(F.filter("q", lambda x: x == t)).alias("qf"),
         ),
     )
-    rows = rows.select(*keys, F.size("d").alias("dl"), F.filter(counted, lambda x: x["tf"] > 0).alias("hits"))
+    rows = rows.select(*keys, F.size("d").alias("dl"), counted.alias("hits"))
     corpus = rows.groupBy(*group).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     hits = rows.select(*keys, "dl", F.inline_outer("hits"))
     # A query with different texts for one group would count a term once per row, as rows of a group share the query.
