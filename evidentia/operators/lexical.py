@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as X
+from evidentia.session import cut_lineage
 
 
 def bm25(pool: DataFrame, query: str, document: str, keys: tuple[str, ...] = ("q_id", "cand_idx"), group: tuple[str, ...] = ("q_id",), k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -23,7 +24,8 @@ def bm25(pool: DataFrame, query: str, document: str, keys: tuple[str, ...] = ("q
             F.size(F.filter("q", lambda x: x == t)).alias("qf"),
         ),
     )
-    rows = rows.select(*keys, F.size("d").alias("dl"), counted.alias("hits"))
+    # Read three times below; the texts are read once.
+    rows = cut_lineage(rows.select(*keys, F.size("d").alias("dl"), counted.alias("hits")))
     corpus = rows.groupBy(*group).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     hits = rows.select(*keys, "dl", F.inline_outer("hits"))
     # A query with different texts for one group would count a term once per row, as rows of a group share the query.
