@@ -22,6 +22,7 @@ from evidentia.operators import rerank as RR
 from evidentia.operators import splits as S
 from evidentia.operators.dense import dense, scorer
 from evidentia.operators.lexical import bm25
+from evidentia.plans.methods import ABLATED, METHODS
 from evidentia.session import cut_lineage, table
 from evidentia.sources import records
 from evidentia.sources.tables import DEV, REFERENCE, candidates, latest, pools, samples
@@ -490,6 +491,16 @@ def fusion_grid(spark, d):
     return of.withColumn("recall", E.recall("answer", "gold")).groupBy("w").agg(F.round(F.coalesce(F.avg("recall"), F.lit(0.0)), 6).alias("recall"))
 
 
+@query
+def ablation(spark, d):
+    """Recall of each method on the development questions."""
+    parts = []
+    for name in ABLATED:
+        ranked = _registry[METHODS[name]](spark, d)
+        parts.append(E.evaluate(answered(spark, d, ranked, DEV)).withColumn("method", F.lit(name)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def pair_examples(spark, d):
     pool = pools(spark, d, REFERENCE).join(scorer(table(spark, d, "scores"), "bm25"), KEYS)

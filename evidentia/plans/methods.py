@@ -1,0 +1,12 @@
+"""Retrieval methods by name, each a registered query of (q_id, rank, quote_id)."""
+
+from __future__ import annotations
+
+METHODS = {
+    "bm25": "bm25_top5", "dense": "dense_top5", "hybrid": "hybrid_top5", "typed_hybrid": "typed_hybrid_top5", "memory": "memory_top5",
+    "memory_hybrid": "memory_hybrid_top5", "forced_memory_hybrid": "force_memory", "reranker": "rerank_stub",
+    "dual_reranker": "dual_rerank_stub", "image": "image_top5", "fused_submissions": "submission_rrf", "coverage": "coverage_top5",
+    "doc_aware_ranker": "doc_aware_top5", "routed_doc_aware_ranker": "routed_top5",
+}
+#: Those whose recall the ablation compares: all but the trained rankers and the greedy choice.
+ABLATED = ("bm25", "dense", "hybrid", "typed_hybrid", "memory", "memory_hybrid", "forced_memory_hybrid", "reranker", "dual_reranker", "image")

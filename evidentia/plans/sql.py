@@ -5,6 +5,7 @@ from __future__ import annotations
 from evidentia.operators import memory as M
 from evidentia.operators import neighbors as N
 from evidentia.operators import ranker as R
+from evidentia.plans.methods import ABLATED, METHODS
 
 WS = r"[\s\x0b\x{85}\p{Z}]+"
 
@@ -335,6 +336,13 @@ QUERIES: dict[str, str] = {
 }
 
 
+QUERIES["ablation"] = " union all ".join(
+    f"""select '{name}' as method, {_EVAL} from (select s.*, {_RECALL} as recall from s left join
+      (select q_id, list(quote_id order by rank) as answer from ({QUERIES[METHODS[name]]}) group by 1) a on a.q_id = s.q_id where split = 'validation')"""
+    for name in ABLATED
+)
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: f"with {', '.join(f'{k} as ({v})' for k, v in _needed(sql))} select * from ({sql}) as result" for name, sql in QUERIES.items()}
 
