@@ -57,15 +57,11 @@ def cut_to_pieces(
         F.regexp_extract_all("text", F.col("pattern"), F.lit(0))
     )
     cut = rows.select("key", "overlap", bodies.alias("bodies"))
-    sizes = F.transform("bodies", lambda x: F.length(x))
-    cut = cut.withColumn("sizes", sizes)
-    before = F.coalesce(F.expr("aggregate(slice(sizes, 1, i), 0L, (s, x) -> s + x)"), F.lit(0))
-    previous = F.expr("case when i > 0 then right(bodies[i - 1], overlap) else '' end")
-    pieces = cut.select("key", "overlap", "bodies", "sizes", F.explode(F.expr("sequence(0, size(bodies) - 1)")).alias("i"))
-    return pieces.select(
-        F.col("key").alias(key),
-        F.col("i").alias("piece_no"),
-        F.size("bodies").alias("n_pieces"),
-        (before - F.length(previous)).alias("start_pos"),
-        F.concat(previous, F.expr("bodies[i]")).alias("piece"),
+    cut = cut.withColumn("sizes", F.transform("bodies", lambda x: F.length(x)))
+    # Made within the row, so that the pieces of a long text don't each carry the text.
+    pieces = F.expr(
+        "transform(bodies, (x, i) -> struct(i as piece_no, size(bodies) as n_pieces,"
+        " aggregate(slice(sizes, 1, i), 0L, (s, y) -> s + y) - if(i > 0, least(sizes[i - 1], overlap), 0) as start_pos,"
+        " if(i > 0, concat(right(bodies[i - 1], overlap), x), x) as piece))"
     )
+    return cut.select(F.col("key").alias(key), F.inline(pieces))
