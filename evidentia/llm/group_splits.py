@@ -98,7 +98,7 @@ def group_splits(samples: DataFrame, catalog: DataFrame, proportions: tuple[tupl
     others, so that the proportions hold in each domain up to the size of one component. Of repeated deliveries the
     last counts. A question without a document is its own component. Questions without q_id are left out.
 
-    The running total is one over classes and hash ranges, a few thousand rows a domain, plus one within each range.
+    The running total is one over size classes and hash ranges, at most 16384 rows a class, plus one within each range.
     """
     q = samples.select(trimmed("q_id").alias("q_id"), "doc_name", _domain("domain").alias("domain"), F.struct("ingested_at", "sample_pos").alias("at"))
     q = q.where("q_id is not null and q_id <> ''").groupBy("q_id").agg(F.max_by(F.struct("doc_name", "domain"), "at").alias("x"))
@@ -111,7 +111,7 @@ def group_splits(samples: DataFrame, catalog: DataFrame, proportions: tuple[tupl
     sizes = by_domain.groupBy("component").agg(main, F.sum("n").alias("n"))
     size_class = F.floor(F.log2("n")).cast("int")
     place = F.pmod(F.xxhash64("component", F.lit(seed)), F.lit(1 << 20))
-    sizes = cut_lineage(sizes.withColumns({"class": -size_class, "place": place, "range": F.floor(place / (1 << 12)).cast("int")}))
+    sizes = cut_lineage(sizes.withColumns({"class": -size_class, "place": place, "range": F.floor(place / (1 << 6)).cast("int")}))
     ranges = sizes.groupBy("main", "class", "range").agg(F.sum("n").alias("range_n"))
     over = Window.partitionBy("main")
     ranges = ranges.select(

@@ -19,6 +19,8 @@ from evidentia.session import broadcast_if_small, cut_lineage
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: A block holds this share of the mixture, so that a quota is met to about one part in so many.
 BLOCKS = 4000
+#: ... and at most so many tokens, which bounds a shard in a mixture of any size.
+BLOCK_TOKENS = 1 << 20
 #: Blocks of an output shard.
 SHARD_BLOCKS = 64
 _encodings: dict[str, object] = {}
@@ -119,7 +121,7 @@ def mixture(
     rows = weights.join(have, "source", "left").orderBy("source").collect()
     size = total_tokens or sum(r["n_tokens"] or 0 for r in rows)
     n_docs = sum(r["n_docs"] or 0 for r in rows)
-    block = max(1, size // BLOCKS)
+    block = max(1, min(size // BLOCKS, BLOCK_TOKENS))
     plan, counts = [], []
     for k, r in enumerate(rows):
         n_blocks = math.ceil((r["n_tokens"] or 0) / block)
