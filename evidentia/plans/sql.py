@@ -336,6 +336,50 @@ QUERIES: dict[str, str] = {
 }
 
 
+def _for_dev(name: str) -> str:
+    """A common table over the stated query set, over the development questions instead."""
+    import re
+
+    return re.sub(r"\b(asked|qp|np|nb|ns|nn|ap)\b", lambda m: {"asked": "devq", "ap": "dev"}.get(m[1], m[1] + "d"), CTES.get(name, name))
+
+
+CTES["devq"] = "select * from s where split = 'validation'"
+CTES |= {f"{n}d": _for_dev(n) for n in ("qp", "np", "nb", "ns", "nn")}
+CTES["simd"] = f"""with n3 as (select *, row_number() over (partition by q_id order by round(similarity, 6) desc, ref_pos) as n from qpd qualify n <= 3),
+      g as (select n3.q_id, k.key_name, k.key, sum(similarity) as votes from n3 join rk k on k.q_id = n3.ref_q_id where k.is_gold group by all)
+      select dev.q_id, dev.cand_idx, coalesce(t.similar, 0.0::double) as sim from dev left join
+        (select k.q_id, k.cand_idx, sum({_weights(M.SIMILAR).replace("case key_name", "case k.key_name")} * votes) as similar from dk k join g on g.q_id = k.q_id and g.key_name = k.key_name and g.key = k.key group by all) t
+        on t.q_id = dev.q_id and t.cand_idx = dev.cand_idx"""
+CTES["votesd"] = f"""with g as (select n.q_id, n.score, r.content_md5, r.page_id, r.layout_id, r.raw_type from nnd n join ref r on r.q_id = n.ref_q_id where r.is_gold)
+  select p.q_id, p.cand_idx, {", ".join(f"coalesce(sum(case when {w} then {'0.2::double * ' if k == 'raw_type' else ''}g.score end), 0.0::double) as {k}_votes" for k, w in _vote_where.items())}
+  from dev p left join g on g.q_id = p.q_id group by all"""
+CTES["factd"] = """select a.q_id, coalesce(max(case when n_rank = 1 then score end), 0.0::double) as neighbor_best, coalesce(avg(score), 0.0::double) as neighbor_mean3,
+        count(score) / 3.0::double as neighbor_share, case when count(score) > 0 then 1.0::double else 0.0::double end as neighbor_has
+      from devq a left join nnd on nnd.q_id = a.q_id group by a.q_id"""
+_votes = [f"{v}_votes" for v in N.VOTES]
+_flags = {
+    "is_text": "modality = 'text'", "is_image": "modality = 'image'", "is_table": "raw_type = 'table'", "is_figure": "raw_type = 'figure'",
+    "is_chart": "raw_type = 'chart'", "is_picture": "raw_type = 'image'", "has_page": "page_id is not null", "has_layout": "layout_id is not null",
+}
+_context = lambda place: f"(case when {place} is null then 0.0::double else max(context) over (partition by q_id, {place}) end)"
+_top_of = lambda x: f"max({x}) over (partition by q_id)"
+QUERIES["ranker_features"] = f"""with f0 as (select fm.*, sim, {", ".join(_votes)} from fm join simd on simd.q_id = fm.q_id and simd.cand_idx = fm.cand_idx
+        join votesd on votesd.q_id = fm.q_id and votesd.cand_idx = fm.cand_idx),
+      f1 as (select *, {scaled("sim")} as similar_norm, {", ".join(f"{scaled(v)} as {v}_norm" for v in _votes)}, 0.5::double * bm25_norm + 0.5::double * dense_norm as context from f0),
+      f2 as (select *, 0.2::double * bm25_norm + 0.65::double * dense_norm + 0.55::double * memory_norm + 0.15::double * similar_norm as base,
+        {_context("page_id")} as pc, {_context("layout_id")} as lc from f1),
+      f3 as (select *, {scaled("base")} as base_norm, {scaled("pc")} as page_context_norm, {scaled("lc")} as layout_context_norm from f2),
+      pp as (select q_id, cand_idx, {", ".join(f"max(case when key_name = '{k}' then precision end) as p_{k}" for k in R.PRECISIONS)} from dr group by all),
+      f4 as (select f3.*, {", ".join(f"coalesce(p_{k}, 0.0::double) as p_{k}" for k in R.PRECISIONS)}, neighbor_best, neighbor_mean3, neighbor_share, neighbor_has,
+        {", ".join(f"(case when {e} then 1.0::double else 0.0::double end) as {n}" for n, e in _flags.items())}, len({tokens("content")})::double as n_tokens,
+        1 - percent_rank() over (partition by f3.q_id order by round(bm25, 6) desc, f3.cand_idx) as bm25_pct,
+        1 - percent_rank() over (partition by f3.q_id order by round(dense, 6) desc, f3.cand_idx) as dense_pct
+        from f3 left join pp on pp.q_id = f3.q_id and pp.cand_idx = f3.cand_idx join factd on factd.q_id = f3.q_id)
+      select q_id, cand_idx, is_gold, {", ".join(f"round({c}, 6) as {c}" for c in R.FEATURES)},
+        round(greatest(neighbor_best, {_top_of("precise_norm")}, {_top_of("exact_votes_norm")}, {_top_of("page_type_votes_norm")}), 6) as overlap_confidence,
+        round(0.2::double * bm25_norm + 0.65::double * dense_norm, 6) as semantic,
+        round(0.55::double * memory_norm + 0.35::double * precise_norm + 0.15::double * similar_norm + 0.6::double * exact_votes_norm + 0.25::double * page_votes_norm
+          + 0.2::double * page_type_votes_norm + 0.1::double * layout_votes_norm + 0.1::double * page_context_norm, 6) as overlap from f4"""
 QUERIES["ablation"] = " union all ".join(
     f"""select '{name}' as method, {_EVAL} from (select s.*, {_RECALL} as recall from s left join
       (select q_id, list(quote_id order by rank) as answer from ({QUERIES[METHODS[name]]}) group by 1) a on a.q_id = s.q_id where split = 'validation')"""
