@@ -4,6 +4,7 @@ import os
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from evidentia.plans import registry
@@ -21,7 +22,7 @@ def duck():
 
 def plain(df):
     def value(x):
-        if x is None or x != x:
+        if pd.isna(x):
             return None
         return x if isinstance(x, (str, bool)) else round(float(x), 5)
 
