@@ -288,7 +288,7 @@ def _block_leaks(docs: DataFrame, items: list[tuple[int, str]], n_docs: int, doc
         for b in batches:
             out: dict[tuple[int, int], list] = {}
             ids = b["doc_id"].to_numpy()
-            for points, owner in _stretches(list(b["text"])):
+            for stretch, (points, owner) in enumerate(_stretches(list(b["text"]))):
                 hashes, places = terms(points, owner)
                 if not len(hashes):
                     continue
@@ -314,24 +314,28 @@ def _block_leaks(docs: DataFrame, items: list[tuple[int, str]], n_docs: int, doc
                     length = np.linalg.norm(z, axis=1)
                     z = (z / np.maximum(length, 1e-12)[:, None]).astype(np.float32)
                     cosines = z @ latent.T
+                    best: dict[tuple[int, int], float] = {}  # by passage and item, as an item has several passages
                     for p, q in zip(*np.nonzero(cosines >= COSINE), strict=True):
-                        start, item = starts[chosen[p]], owners[q]
+                        best[p, owners[q]] = max(best.get((p, owners[q]), 0.0), float(cosines[p, q]))
+                    for (p, item), cosine in best.items():
+                        start = starts[chosen[p]]
                         doc = ids[owner[start]]
-                        pair = out.setdefault((doc, item), [0.0, 0, 0.0, False, set()])
-                        pair[0] = max(pair[0], float(cosines[p, q]))
-                        if start // PASSAGE in pair[4]:
-                            continue
-                        pair[4].add(start // PASSAGE)
+                        pair = out.setdefault((doc, item), [0.0, 0, (False, 0.0), set()])
+                        pair[0] = max(pair[0], cosine)
                         whole_item = texts[item]
-                        reach = len(whole_item) + PASSAGE
                         lo, hi = np.searchsorted(owner, owner[start]), np.searchsorted(owner, owner[start], "right")
-                        region = _decode(points[max(lo, start - reach) : min(hi, start + reach)])
-                        pair[1] = max(pair[1], _common_run(whole_item, region, least))
-                        passage = _decode(points[start : start + PASSAGE])
-                        pair[2] = max(pair[2], _common_subsequence(passage, whole_item) / max(1, len(passage)))
+                        bin_ = start // PASSAGE
+                        if (stretch, bin_) not in pair[3]:  # one region holds the runs of all passages of its bin
+                            pair[3].add((stretch, bin_))
+                            reach = len(whole_item) + PASSAGE
+                            region = _decode(points[max(lo, bin_ * PASSAGE - reach) : min(hi, (bin_ + 1) * PASSAGE + reach)])
+                            pair[1] = max(pair[1], _common_run(whole_item, region, least))
+                        passage = _decode(points[start : min(hi, start + PASSAGE)])
                         numbers = "".join(x if x.isdigit() else " " for x in passage).split()
-                        pair[3] = pair[3] or bool(numbers) and all(x in whole_item for x in numbers)
-            yield pd.DataFrame([(d, keys[i], v[0], v[1], v[2], v[3]) for (d, i), v in out.items()], columns=["doc_id", "item_id", "cosine", "run", "subsequence", "same_numbers"])
+                        same = all(x in whole_item for x in numbers)
+                        if (same, 1.0) > pair[2]:  # else it can't be better
+                            pair[2] = max(pair[2], (same, _common_subsequence(passage, whole_item) / max(1, len(passage))))
+            yield pd.DataFrame([(d, keys[i], v[0], v[1], v[2][1], v[2][0]) for (d, i), v in out.items()], columns=["doc_id", "item_id", "cosine", "run", "subsequence", "same_numbers"])
 
     return docs.select(F.col(doc_key).alias("doc_id"), F.col(text).alias("text")).where("text is not null").mapInPandas(search, schema)
 
@@ -341,7 +345,8 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
 
     ``run`` is the length of the longest stretch of letters and digits that both share, 0 if under ``least``;
     ``subsequence`` the share of the best passage's characters that stand in the item in that order; ``same_numbers``
-    whether a passage's numbers all stand in the item. Null and empty texts match nothing; rows with a null key are left
+    whether that passage's numbers all stand in the item, true if it has none. A passage with the item's numbers is better
+    than one without. Null and empty texts match nothing; rows with a null key are left
     out; repeated documents are rows of their own, and an item given twice counts once. Empty tables give no rows.
 
     The evaluation set is read in blocks of about BLOCK_CHARS characters, each of which is searched against all
@@ -367,6 +372,6 @@ def leaked(docs: DataFrame, items: DataFrame, least: int = 60) -> DataFrame:
 
 
 def paraphrased(docs: DataFrame, items: DataFrame, share: float = 0.8, least: int = 60) -> DataFrame:
-    """Candidates without such a run whose passage still stands in the item in order, with the item's numbers."""
+    """Candidates without such a run, a passage of which still stands in the item in order and has no number besides the item's."""
     near = leaks(docs, items, least=least).where((F.col("run") < least) & (F.col("subsequence") >= share) & F.col("same_numbers"))
     return near.groupBy("doc_id", "item_id").agg(F.round(F.max("cosine"), 4).alias("cosine"), F.round(F.max("subsequence"), 4).alias("subsequence"))

@@ -92,6 +92,45 @@ def test_leaks_against_brute_force(spark):
     assert L.leaked(d.limit(0), e).count() == 0 and L.leaked(d, e.limit(0)).count() == 0
 
 
+def test_paraphrases_against_brute_force(spark):
+    rng = random.Random(5)
+    items = [(i, pseudo(rng, 26)) for i in range(8)] + [(8 + i, pseudo(rng, 9) + f" {rng.randint(100, 999)} " + pseudo(rng, 12)) for i in range(4)]
+    docs = []
+    for k in range(72):
+        words = items[k % 12][1].split()
+        for at in range(rng.randint(0, 5), len(words), rng.choice([5, 7, 8])):
+            words[at] = str(rng.randint(100, 999)) if words[at].isdigit() or k % 9 == 0 else pseudo(rng, 1)
+        docs.append((k, " ".join([pseudo(rng, rng.randint(0, 9)), *words, pseudo(rng, rng.randint(0, 9))])))
+    bare = lambda t: "".join(filter(str.isalnum, lowered(t)))
+    want = {}
+    for d, t in docs:
+        b = bare(t)
+        for i, u in items:
+            u = bare(u)  # noqa: PLW2901
+            if any(b[j : j + 60] in u for j in range(len(b) - 59)):
+                continue
+            for j in {*range(0, len(b) - 59, L.STRIDE), max(0, len(b) - 60)}:
+                p = b[j : j + 60]
+                share = L._common_subsequence(p, u) / len(p)
+                if share >= 0.8 and all(x in u for x in "".join(x if x.isdigit() else " " for x in p).split()):
+                    want[d, i] = max(want.get((d, i), 0), round(share, 4))
+    d, e = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["subsequence"] for r in L.paraphrased(d, e).collect()}
+    assert got.keys() == want.keys() and len(want) > 20
+    # A better passage may still lie under the least cosine, which brute force doesn't ask.
+    assert all(got[x] <= want[x] for x in want) and sum(got[x] == want[x] for x in want) > 0.95 * len(want)
+
+
+def test_runs_at_the_same_place_of_two_stretches(spark):
+    rng = random.Random(6)
+    item = pseudo(rng, 24).replace(" ", "")
+    near = item[:30] + "zz" + item[32:70] + "zz" + item[72:110] + "zz" + item[112:]
+    rest = "q" * (L.STRETCH - len(near))
+    d = spark.createDataFrame([(1, "q" * 2400 + near + rest + item + "q" * 9000)], "doc_id bigint, text string")
+    e = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    assert [tuple(r) for r in L.leaked(d, e).collect()] == [(1, 7)]
+
+
 def test_winnowed_terms_are_those_of_the_common_run():
     rng = random.Random(2)
     run = np.array([ord(rng.choice("abcdefgh")) for _ in range(80)], np.uint32)
