@@ -24,7 +24,7 @@ def reciprocal_rank_fusion(lists: list[tuple[DataFrame, float]], item: str = "ca
     rows = reduce(
         DataFrame.unionByName,
         (
-            df.select("q_id", item, (F.lit(float(w)) / (F.lit(k) + F.col("rank"))).alias("part"), (F.lit(i * 1_000_000) + F.col("rank")).alias("seen"))
+            df.select("q_id", item, (F.lit(float(w)) / (F.lit(k) + F.col("rank"))).alias("part"), (F.lit(i << 40) + F.col("rank")).alias("seen"))
             for i, (df, w) in enumerate(lists)
         ),
     )

@@ -246,7 +246,8 @@ def scorer_lists(spark, d) -> tuple[DataFrame, DataFrame]:
 
 @query
 def rrf(spark, d):
-    a, b = scorer_lists(spark, d)
+    """Reciprocal ranks summed over the whole lists of both scorers; the first ten."""
+    a, b = (K.ranked(scorer(table(spark, d, "scores"), m), ["q_id"], K.by_score(m)).select(*KEYS, "rank") for m in ("bm25", "dense"))
     out = U.reciprocal_rank_fusion([(a, 1.0), (b, 0.5)])
     return out.where("rank <= 10").select(*KEYS, "rank", F.round("rrf", 9).alias("rrf"))
 

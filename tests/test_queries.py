@@ -56,3 +56,28 @@ def test_streamed_memory_equals_batch(spark):
     streamed = {tuple(r) for r in q["streamed_memory"](spark, str(DATA)).collect()}
     batch = {tuple(r) for r in q["memory_table"](spark, str(DATA)).collect() if r["key_name"] in PRECISE}
     assert streamed == batch
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
+def test_rrf_sums_whole_lists(spark):
+    """Against sums in plain Python over all ranks; the registry's SQL cuts the lists to twenty."""
+    from evidentia.operators.dense import scorer
+    from evidentia.session import table
+
+    sums, seen = {}, {}
+    for i, (m, w) in enumerate((("bm25", 1.0), ("dense", 0.5))):
+        pools = {}
+        for r in scorer(table(spark, str(DATA), "scores"), m).collect():
+            pools.setdefault(r["q_id"], []).append((-round(r[m], 6), r["cand_idx"]))
+        assert max(map(len, pools.values())) > 20
+        for q, pool in pools.items():
+            for n, (_, c) in enumerate(sorted(pool), 1):
+                sums[q, c] = sums.get((q, c), 0.0) + w / (60 + n)
+                seen.setdefault((q, c), (i, n))
+    want = {}
+    for q, c in sorted(sums, key=lambda x: (-round(sums[x], 9), seen[x])):
+        want.setdefault(q, []).append(c)
+    got = {}
+    for r in sorted(registry.queries()["rrf"](spark, str(DATA)).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["q_id"], []).append(r["cand_idx"])
+    assert got == {q: c[:10] for q, c in want.items()}
