@@ -56,11 +56,24 @@ def rerank(df: DataFrame, base: str, scorer: Scorer, top: int = 10, weight: floa
     return out.withColumn("rerank_order", F.coalesce("_head", "base_rank")).drop("_head")
 
 
-def prompts(pool: DataFrame, words: int = 320) -> DataFrame:
-    """(q_id, lines): the candidates' ids and first words, in the pool's order; one line per candidate.
+SYSTEM = (
+    "You are a retrieval assistant. Select the 5 most relevant evidence quote_ids for the question. Output only a JSON array of "
+    "quote_ids ordered from most relevant to least relevant."
+)
+CLOSING = 'Return exactly one JSON array like ["text3", "image2", ...].'
 
-    A pool is one prompt, so its lines are gathered by question; the words of a candidate are bounded.
+
+def prompts(pool: DataFrame, questions: DataFrame, words: int = 320) -> DataFrame:
+    """(q_id, line_no, line): each question's prompt line by line: the system's line, the question, its candidates' ids
+    and first words in the pool's order, and the closing line.
+
+    ``line_no`` rises along the prompt and follows cand_idx, so that no pool is gathered or ranked.
     """
     line = F.concat(F.lit("- "), "quote_id", F.lit(": "), X.first_words("doc_text", words))
-    lines = pool.select("q_id", "cand_idx", line.alias("line"))
-    return lines.groupBy("q_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cand_idx", "line"))), lambda x: x["line"]), "\n").alias("prompt"))
+    body = pool.join(questions.select("q_id"), "q_id", "left_semi").select("q_id", (F.col("cand_idx") + 3).alias("line_no"), line.alias("line"))
+    last = pool.groupBy("q_id").agg(F.max("cand_idx").alias("_last"))
+    frame = {0: F.lit(SYSTEM), 1: F.concat(F.lit("Question: "), "question"), 2: F.lit("Candidates:")}
+    around = [F.struct(F.lit(n).cast("bigint").alias("line_no"), x.alias("line")) for n, x in frame.items()]
+    around.append(F.struct((F.coalesce("_last", F.lit(-1).cast("bigint")) + 4).alias("line_no"), F.lit(CLOSING).alias("line")))
+    rows = questions.join(last, "q_id", "left").select("q_id", F.explode(F.array(*around)).alias("_l")).select("q_id", "_l.*")
+    return rows.unionByName(body)

@@ -327,8 +327,7 @@ def image_top5(spark, d):
 
 @query
 def llm_prompt(spark, d):
-    c = texts(candidates(spark, d)).where("cand_idx < 20")
-    return RR.prompts(c, 30).select("q_id", F.md5("prompt").alias("prompt"), F.length("prompt").cast("bigint").alias("n_chars"))
+    return RR.prompts(texts(candidates(spark, d)), samples(spark, d))
 
 
 @query

@@ -81,3 +81,25 @@ def test_rrf_sums_whole_lists(spark):
     for r in sorted(registry.queries()["rrf"](spark, str(DATA)).collect(), key=lambda r: r["rank"]):
         got.setdefault(r["q_id"], []).append(r["cand_idx"])
     assert got == {q: c[:10] for q, c in want.items()}
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
+def test_llm_prompt_has_every_candidate(spark):
+    """Every line against plain Python; the registry's SQL cuts pools to twenty candidates of thirty words, without frame."""
+    from evidentia.plans.core import texts
+    from evidentia.sources.tables import candidates, samples
+
+    pools = {}
+    for r in texts(candidates(spark, str(DATA))).collect():
+        pools.setdefault(r["q_id"], []).append((r["cand_idx"], f"- {r['quote_id']}: " + " ".join(r["doc_text"].split()[:320])))
+    assert max(map(len, pools.values())) > 20
+    got = {}
+    for r in sorted(registry.queries()["llm_prompt"](spark, str(DATA)).collect(), key=lambda r: r["line_no"]):
+        got.setdefault(r["q_id"], []).append((r["line_no"], r["line"]))
+    questions = {r["q_id"]: r["question"] for r in samples(spark, str(DATA)).collect()}
+    assert got.keys() == questions.keys()
+    for q, lines in got.items():
+        assert len({n for n, _ in lines}) == len(lines)
+        first, *body, last = [x for _, x in lines]
+        assert first.startswith("You are a retrieval assistant.") and last.startswith("Return exactly one JSON array")
+        assert body == [f"Question: {questions[q]}", "Candidates:", *(x for _, x in sorted(pools.get(q, [])))]
