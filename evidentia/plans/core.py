@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from evidentia.functions import text as X
@@ -524,18 +525,17 @@ def image_paths(spark, d):
 
 @query
 def records_round_trip(spark, d):
-    """Pools written as records, one JSON line a question, read and flattened again. Long pools make long lines, so the
-    record holds the first hundred of each modality."""
-    c = candidates(spark, d).where("cand_idx < 100")
+    """Pools written as records, a JSON line for each hundred places of a question's pool, read and flattened again."""
+    c = candidates(spark, d).withColumn("part", F.floor(F.col("cand_idx") / 100))
     quote = lambda *x: F.struct("cand_idx", F.struct("quote_id", F.col("raw_type").alias("type"), *x, "page_id", "layout_id").alias("quote"))
     ordered = lambda x: F.transform(F.array_sort(F.collect_list(x)), lambda y: y["quote"])
     text = quote(F.col("content").alias("text"))
     image = quote(F.col("content").alias("img_description"), "img_path")
-    pooled = c.groupBy("q_id").agg(
+    pooled = c.groupBy("q_id", "part").agg(
         ordered(F.when(F.col("modality") == "text", text)).alias("text_quotes"), ordered(F.when(F.col("modality") == "image", image)).alias("img_quotes")
     )
     line = cut_lineage(pooled.select(F.to_json(F.struct("*")).alias("line")))
-    parsed = line.select(F.from_json("line", records.RECORD).alias("r")).select("r.*")
+    parsed = line.select(F.from_json("line", T.StructType([*records.RECORD, T.StructField("part", T.LongType())])).alias("r")).select("r.*")
     return records.record_candidates(parsed).select("q_id", F.col("cand_idx").cast("bigint").alias("cand_idx"), "quote_id", "modality", "page_id")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from evidentia.functions import text as X
 
@@ -32,7 +33,11 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def record_candidates(records: DataFrame) -> DataFrame:
-    """Candidates of each record: its text quotes, then its image quotes; cand_idx is the place in both together."""
+    """Candidates of each record: its text quotes, then its image quotes; cand_idx is the place in both together.
+
+    Where the records have a column ``part``, the parts of a q_id are one pool, in order: cand_idx is the place in all its
+    text quotes, then all its image quotes.
+    """
 
     def unified(quotes: str, modality: str, content: str, path: Column | None) -> Column:
         kind = lambda x: X.strip(x["type"])
@@ -47,7 +52,18 @@ def record_candidates(records: DataFrame) -> DataFrame:
         )
 
     both = F.concat(unified("text_quotes", "text", "text", F.lit(None).cast("string")), unified("img_quotes", "image", "img_description", None))
-    return records.select(X.strip("q_id").alias("q_id"), F.posexplode(both).alias("cand_idx", "c")).select("q_id", "cand_idx", "c.*")
+    q_id = X.strip("q_id").alias("q_id")
+    if "part" not in records.columns:
+        return records.select(q_id, F.posexplode(both).alias("cand_idx", "c")).select("q_id", "cand_idx", "c.*")
+    n_text, n_img = (F.coalesce(F.size(x), F.lit(0)).cast("bigint") for x in ("text_quotes", "img_quotes"))
+    pool = Window.partitionBy("q_id")
+    before = pool.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = records.select(q_id, "part", n_text.alias("_texts"), n_img.alias("_imgs"))
+    earlier = [F.coalesce(F.sum(x).over(before), F.lit(0)) for x in ("_texts", "_imgs")]
+    sizes = sizes.select("q_id", "part", "_texts", earlier[0].alias("_text_at"), (F.sum("_texts").over(pool) + earlier[1]).alias("_img_at"))
+    rows = records.select(q_id, "part", F.posexplode(both).alias("_place", "c")).join(sizes, ["q_id", "part"])
+    at = F.when(F.col("_place") < F.col("_texts"), F.col("_text_at") + F.col("_place")).otherwise(F.col("_img_at") + F.col("_place") - F.col("_texts"))
+    return rows.select("q_id", at.alias("cand_idx"), "c.*")
 
 
 def resolved_paths(df: DataFrame, existing: DataFrame, root: str) -> DataFrame:

@@ -103,3 +103,24 @@ def test_llm_prompt_has_every_candidate(spark):
         first, *body, last = [x for _, x in lines]
         assert first.startswith("You are a retrieval assistant.") and last.startswith("Return exactly one JSON array")
         assert body == [f"Question: {questions[q]}", "Candidates:", *(x for _, x in sorted(pools.get(q, [])))]
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
+def test_records_round_trip_returns_every_candidate(spark, tmp_path):
+    """All candidates as two pools, against plain Python; the registry's SQL drops the places from a hundred on."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.window import Window
+
+    from evidentia.session import table
+    from evidentia.sources.tables import candidates
+
+    place = F.row_number().over(Window.orderBy("cand_id", "ingested_at")).cast("bigint")
+    two = table(spark, str(DATA), "candidates").withColumn("_n", place).withColumn("q_id", (F.col("_n") % 2).cast("string"))
+    two.withColumn("cand_idx", F.floor(F.col("_n") / 2)).drop("_n").write.parquet(f"{tmp_path}/candidates.parquet")
+    pools = {}
+    for r in candidates(spark, str(tmp_path)).where("modality in ('text', 'image')").collect():
+        pools.setdefault(r["q_id"], []).append((r["modality"] != "text", r["cand_idx"], r["quote_id"], r["modality"], r["page_id"]))
+    assert any(x[1] >= 100 for pool in pools.values() for x in pool)
+    want = {(q, n, *x[2:]) for q, pool in pools.items() for n, x in enumerate(sorted(pool, key=lambda x: x[:2]))}
+    rows = registry.queries()["records_round_trip"](spark, str(tmp_path)).select("q_id", "cand_idx", "quote_id", "modality", "page_id").collect()
+    assert {tuple(r) for r in rows} == want and len(rows) == len(want)
