@@ -13,7 +13,7 @@ from evidentia.llm.group_splits import group_splits, must_share
 from evidentia.llm.leaks import leaked, paraphrased
 from evidentia.llm.mixing import mixture
 from evidentia.llm.pieces import cut_to_pieces
-from evidentia.llm.sentences import sentence_places, sentences
+from evidentia.llm.sentences import learned, sentence_places, sentences
 from evidentia.llm.top_n import best_quotes
 from evidentia.session import table
 
@@ -82,11 +82,13 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return sentence_places(table(spark, d, "documents"))
+    docs = table(spark, d, "documents")
+    return sentence_places(docs, model=learned(docs))
 
 
 def p8_sentences(spark: SparkSession, d: str) -> DataFrame:
-    return sentences(table(spark, d, "documents"))
+    docs = table(spark, d, "documents")
+    return sentences(docs, model=learned(docs))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evidentia.llm import leaks as L
 from evidentia.llm.consistent_form import lowered
 from evidentia.llm.mixing import _walk, mixture
-from evidentia.llm.sentences import sentence_places, sentence_starts, sentences
+from evidentia.llm.sentences import FIXED, learned, sentence_places, sentence_starts, sentences, words_of_clause
 
 
 def cut(text):
@@ -47,6 +47,45 @@ def test_sentences_of_each_language(text, want):
     assert len(cut(text)) == want, cut(text)
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Gov. Smith met Sen. Lee on Jan. 5 at Univ. Hall. They left.", 2),
+        ("Der Abg. Meier sprach mit Min. Vogt. Dann ging er.", 2),
+        ("El Gral. Paz y la Dña. Ana hablaron. Fin.", 2),
+        ("The U.S. Senate voted. It passed.", 2),
+        ("He moved to the U.S. In May he left the U.K. market.", 2),
+        ("他说：“我们走吧。”便离开了。", 1),
+        ("彼は「本当に行くのか。」なんて言った。", 1),
+        ("他停下……便走了。我们……他们来了吗？", 3),
+        ("บริษัทปรับแผนที่ ผลสำรวจคงที่และ รายได้เพิ่มขึ้น", 2),
+    ],
+)
+def test_sentences_by_the_words_around_a_gap(text, want):
+    assert len(cut(text)) == want, cut(text)
+
+
+def test_clauses_are_cut_by_the_cheapest_words():
+    assert words_of_clause("经济增长速度放缓", FIXED.words) == ["经济", "增长", "速度", "放缓"]
+    assert words_of_clause("ปรับแผนที่ของเมือง", FIXED.words) == ["ปรับ", "แผนที่", "ของ", "เมือง"]
+    words = {"ab": 1.0, "abc": 1.0, "cd": 1.0, "d": 1.0}
+    assert words_of_clause("abcdxy", words) in (["abc", "d", "xy"], ["ab", "cd", "xy"])
+    assert words_of_clause("", words) == [] and words_of_clause("x" * 20_000, words) == ["x" * 20_000]
+
+
+def test_model_learned_from_documents(spark):
+    texts = ["We saw the Obj. no more. We went to Foo Inc. for 3 days. It was Bar Inc. For us it ended. Ja."] * 8
+    texts += ["他来了。今天很好。今天下雨。今天是。今天去。今天不。", None, "", "plain"] * 8
+    df = spark.createDataFrame([(t,) for t in texts], "text string").withColumns({c: F.lit(0) for c in ("word", "n", "w", "m")})
+    m = learned(df)
+    assert "obj" in m.abbreviations and "more" not in m.abbreviations
+    assert m.goes_on["inc", "for", "number"] == 1.0 and m.goes_on["inc", "for", "word"] == 0.0
+    assert "今天" in m.words
+    assert len(sentence_starts("the obj. no more.", m)) == 1 and len(sentence_starts("the obj. no more.")) == 2
+    assert len(sentence_starts("it was bar inc. for us it ended.", m)) == 2
+    assert learned(df.limit(0)) == FIXED
+
+
 @pytest.mark.parametrize("text", ["", " ", "\n\n", "a", "...", '"', "(" * 2000, ". " * 2000, "x" * 300_000, "a.\n\n\n\nb", "’”)"])
 def test_sentences_lose_nothing(text):
     s = sentence_starts(text)
