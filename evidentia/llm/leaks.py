@@ -7,14 +7,17 @@ by winnowing, so that two texts with a common run choose the same terms in it. P
 2. One pass over all documents counts in how many of them each term stands (document frequencies).
 3. A randomised SVD of the block's TF-IDF passages, its products computed by Spark over the passages, gives the latent
    space. It is fitted on the evaluation passages alone, as other directions say nothing about them.
-4. One pass over all passages of all documents: TF-IDF, a bound on the cosine (a passage whose weight lies mostly on terms
-   that no evaluation text has can't come near one), projection, cosine with the block's passages.
-5. Candidates are checked against the item's whole text: longest common run, longest common subsequence, numbers.
+4. One pass over all passages of all documents that have enough terms of the evaluation set: TF-IDF, projection, cosine in
+   the latent space with the block's passages.
+5. Candidates are checked: longest common subsequence with the item's whole text, all passages of an item at once; then
+   the longest common run, and for paraphrases numbers, names and the longest common subsequence with the passages they
+   come near to.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from functools import cache, reduce
 
@@ -23,13 +26,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.consistent_form import lowered
+from evidentia.llm.consistent_form import consistent, lowered
 
 N_GRAM, WINNOW = 10, 8
 PASSAGE, STRIDE = 60, 10
 RANK, OVERSAMPLE, POWER = 96, 16, 2
-#: Least cosine of a candidate, and characters of evaluation text in a block.
-COSINE, BLOCK_CHARS = 0.5, 2_000_000
+#: Least cosine of a candidate.
+COSINE = 0.6
+#: Least terms that a passage of a paraphrase shares with the evaluation set.
+TERMS = 3
+#: Characters of evaluation text in a block. Of its terms, at most one in two characters and mostly one in five, the driver
+#: holds a few matrices of RANK + OVERSAMPLE numbers each, 50 MB apiece; a task holds one, and a tile of cosines.
+BLOCK_CHARS, TILE = 250_000, 8_000_000
+#: A passage is compared with the item's passage nearest by cosine and so many characters on both sides of it.
+AROUND = 15
 #: Texts are worked on in stretches of so many characters, which overlap.
 STRETCH, LAP = 500_000, 2_000
 
@@ -85,10 +95,10 @@ def terms(points: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return h[chosen], chosen
 
 
-def _stretches(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Code points of several texts end to end and, for each, the number of its text; at most about STRETCH characters."""
-    parts: list[np.ndarray] = []
-    owners: list[np.ndarray] = []
+def _stretches(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Code points of several texts end to end and, for each, the number of its text and its place there; at most about
+    STRETCH characters."""
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     size = 0
     for i, t in enumerate(texts):
         if not t:
@@ -97,13 +107,12 @@ def _stretches(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray
         for a in range(0, max(len(p) - LAP, 1), STRETCH):
             piece = p[a : a + STRETCH + LAP]
             if size and size + len(piece) > STRETCH + LAP:
-                yield np.concatenate(parts), np.concatenate(owners)
-                parts, owners, size = [], [], 0
-            parts.append(piece)
-            owners.append(np.full(len(piece), i, np.int32))
+                yield tuple(map(np.concatenate, zip(*parts, strict=True)))
+                parts, size = [], 0
+            parts.append((piece, np.full(len(piece), i, np.int32), np.arange(a, a + len(piece), dtype=np.int32)))
             size += len(piece)
     if size:
-        yield np.concatenate(parts), np.concatenate(owners)
+        yield tuple(map(np.concatenate, zip(*parts, strict=True)))
 
 
 def _lookup(hashes: np.ndarray, vocabulary: np.ndarray, sieve: np.ndarray) -> np.ndarray:
@@ -148,7 +157,7 @@ def _document_frequencies(docs: DataFrame, text: str, vocabulary: np.ndarray) ->
         vocabulary, sieve = known.value
         totals = np.zeros(len(vocabulary), np.int64)
         for b in batches:
-            for points, owner in _stretches(list(b["text"])):
+            for points, owner, _ in _stretches(list(b["text"])):
                 hashes, places = terms(points, owner)
                 number = _lookup(hashes, vocabulary, sieve)
                 seen = number >= 0
@@ -210,7 +219,8 @@ def randomised_svd(passages: DataFrame, n_terms: int, rank: int = RANK, seed: in
             return pd.DataFrame({"term": known, "row": [v.tobytes() for v in total]})
 
         schema = "term long, row binary"  # bytes, as lists of numbers would fill the driver
-        sums = passages.mapInPandas(part, schema).groupBy(F.expr("term % 32")).applyInPandas(add, schema).toPandas()
+        parts = max(32, n_terms // 4096)
+        sums = passages.mapInPandas(part, schema).groupBy(F.expr(f"term % {parts}")).applyInPandas(add, schema).toPandas()
         out = np.zeros((n_terms, width))
         if len(sums):
             out[sums["term"].to_numpy(np.int64)] = np.frombuffer(b"".join(map(bytes, sums["row"]))).reshape(-1, width)
@@ -246,108 +256,183 @@ def _common_subsequence(a: str, b: str) -> int:
     return len(a) - v.bit_count()
 
 
+def _common_subsequences(points: np.ndarray, starts: np.ndarray, lengths: np.ndarray, item: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
+    """The same for many passages, each with the item of its number; ``item`` ascending. All passages of an item at once."""
+    out = np.zeros(len(starts), np.int64)
+    one, full = np.uint64(1), (np.uint64(1) << lengths.astype(np.uint64)) - np.uint64(1)
+    places = np.arange(PASSAGE)
+    edges = np.flatnonzero(np.diff(item, prepend=-1, append=-1))
+    for a, b in zip(edges, edges[1:], strict=False):
+        text = texts[item[a]]
+        chars = points[np.minimum(starts[a:b, None] + places, len(points) - 1)]
+        bits = np.where(places < lengths[a:b, None], one << places.astype(np.uint64), np.uint64(0))
+        letters, which = np.unique(text, return_inverse=True)
+        masks = [((chars == c) * bits).sum(axis=1, dtype=np.uint64) for c in letters]
+        v = full[a:b].copy()
+        for k in which:
+            m = v & masks[k]
+            v = ((v + m) | (v - m)) & full[a:b]
+        out[a:b] = lengths[a:b] - np.bitwise_count(v)
+    return out
+
+
 def _decode(points: np.ndarray) -> str:
     return points.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
 
 
-def _block_leaks(docs: DataFrame, items: list[tuple[int, str]], n_docs: int, doc_key: str, text: str, least: int) -> DataFrame:
+_NUMBER = re.compile(r"\d+")
+_NAME = re.compile(r"(?<=[^.!?:\s]\s)[^\W\d_]+")
+
+
+def _names(text: str, bare_text: str) -> list[tuple[int, str]]:
+    """Names of an item, words with a capital within a sentence of text that has small letters too, with their places."""
+    form = consistent(text)
+    out, at = [], 0
+    for m in _NAME.finditer(form) if form.upper() != form else ():
+        word = m.group()
+        if len(word) >= 3 and word[0].isupper() and not word.isupper():
+            place = bare_text.find(word.lower(), at)
+            if place >= 0:
+                out.append((place, word.lower()))
+                at = place + len(word)
+    return out
+
+
+def _same_numbers(near: str, lo: int, hi: int, numbers: frozenset[str]) -> bool:
+    """Whether the numbers that stand in ``near`` between ``lo`` and ``hi``, whole ones also where they reach beyond, are
+    all among the item's."""
+    return all(m.group() in numbers for m in _NUMBER.finditer(near) if m.start() < hi and m.end() > lo)
+
+
+def _block_leaks(docs: DataFrame, items: list[tuple[int, str]], n_docs: int, doc_key: str, text: str, least: int, share: float, judged: bool) -> DataFrame:
     spark = docs.sparkSession
     texts = [_decode(bare(t)) for _, t in items]
+    answers = [(frozenset(_NUMBER.findall(b)), _names(t, b)) for (_, t), b in zip(items, texts, strict=True)]
     found = []
-    for n, (points, owner) in enumerate(_stretches([t for _, t in items])):
+    for points, owner, origin in _stretches([t for _, t in items]):
         hashes, places = terms(points, owner)
         starts = _windows(points, owner, STRIDE // 2)
-        found.append((hashes, owner[starts], *_spans(starts, owner, places)))
-    schema = "doc_id long, item_id long, cosine double, run long, subsequence double, same_numbers boolean"
+        found.append((hashes, owner[starts], origin[starts], *_spans(starts, owner, places)))
+    schema = "doc_id long, item_id long, cosine double, run long, subsequence double"
     vocabulary = np.unique(np.concatenate([f[0] for f in found])) if found else np.empty(0, np.uint64)
     if not len(vocabulary):
         return spark.createDataFrame([], schema)
     frequencies = _document_frequencies(docs, text, vocabulary)
     idf = np.log(1 + n_docs / (1 + frequencies))
-    unknown = math.log(1 + n_docs / 2)
     rows = []
-    for hashes, owner, first, last in found:
+    for hashes, owner, origin, first, last in found:
         number = np.searchsorted(vocabulary, hashes)
-        for i, a, b in zip(owner, first, last, strict=True):
+        for i, o, a, b in zip(owner, origin, first, last, strict=True):
             if b > a:
                 t, n = np.unique(number[a:b], return_counts=True)
                 w = n * idf[t]
-                rows.append((int(i), t.tolist(), (w / max(np.linalg.norm(w), 1e-12)).tolist()))
-    matrix = pd.DataFrame(rows, columns=["item", "terms", "weights"])
-    passages = spark.createDataFrame(matrix, "item long, terms array<long>, weights array<double>").repartition(8)
-    space = randomised_svd(passages, len(vocabulary))
+                rows.append((int(i), int(o), t.tolist(), (w / max(np.linalg.norm(w), 1e-12)).tolist()))
+    matrix = pd.DataFrame(rows, columns=["item", "origin", "terms", "weights"])
+    passages = spark.createDataFrame(matrix[["terms", "weights"]], "terms array<long>, weights array<double>")
+    space = randomised_svd(passages.repartition(max(8, len(matrix) // 4096)), len(vocabulary))
     r, c, w = _sparse_rows(matrix)
     latent = _times(r, c, w, len(matrix), space)
     norms = np.linalg.norm(latent, axis=1)
     good = norms > 1e-9
-    latent, owners = (latent[good] / norms[good, None]).astype(np.float32), matrix["item"].to_numpy()[good]
-    shared = spark.sparkContext.broadcast((vocabulary, _sieve(vocabulary), idf, space.astype(np.float32), latent, owners, texts, [k for k, _ in items]))
+    latent = (latent[good] / norms[good, None]).astype(np.float32)
+    owners, origins = matrix["item"].to_numpy()[good], matrix["origin"].to_numpy()[good]
+    shared = spark.sparkContext.broadcast(
+        (vocabulary, _sieve(vocabulary), idf, space.astype(np.float32), latent, owners, origins, texts, answers, [k for k, _ in items])
+    )
+
+    # A run of ``least`` leaves at least so many terms to a passage that begins in it, as of each WINNOW n-grams one is a term.
+    of_run = (least - STRIDE + 1 - N_GRAM + 1) // WINNOW
+    least_cosine, shared_terms = COSINE, max(1, min(of_run, TERMS) if judged else of_run)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary, sieve, idf, space, latent, owners, texts, keys = shared.value
+        vocabulary, sieve, idf, space, latent, owners, origins, texts, answers, keys = shared.value
+        tile = max(16, TILE // max(1, len(latent)))
+        columns = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
         for b in batches:
             out: dict[tuple[int, int], list] = {}
             ids = b["doc_id"].to_numpy()
-            for stretch, (points, owner) in enumerate(_stretches(list(b["text"]))):
+            for points, owner, _ in _stretches(list(b["text"])):
                 hashes, places = terms(points, owner)
                 if not len(hashes):
                     continue
                 number = _lookup(hashes, vocabulary, sieve)
                 known = number >= 0
-                energy = np.where(known, idf[number], unknown) ** 2
-                all_of = np.concatenate(([0.0], np.cumsum(energy)))
-                of_known = np.concatenate(([0.0], np.cumsum(np.where(known, energy, 0.0))))
+                so_far = np.concatenate(([0], np.cumsum(known)))
                 starts = _windows(points, owner, STRIDE)
                 first, last = _spans(starts, owner, places)
                 last = np.maximum(first, last)
-                whole, part = all_of[last] - all_of[first], of_known[last] - of_known[first]
-                # The cosine is at most the root of the share of known terms.
-                near = np.flatnonzero((whole > 0) & (part >= COSINE * COSINE * whole))
-                for at in range(0, len(near), 2048):
-                    chosen = near[at : at + 2048]
+                some = np.flatnonzero(so_far[last] - so_far[first] >= shared_terms)
+                near: list[tuple[np.ndarray, ...]] = []
+                for at in range(0, len(some), tile):
+                    chosen = some[at : at + tile]
                     sizes = last[chosen] - first[chosen]
                     row = np.repeat(np.arange(len(chosen)), sizes)
                     term = np.repeat(first[chosen] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
                     keep = known[term]
                     row, t = row[keep], number[term[keep]]
                     z = _times(row, t, idf[t], len(chosen), space)
-                    length = np.linalg.norm(z, axis=1)
-                    z = (z / np.maximum(length, 1e-12)[:, None]).astype(np.float32)
-                    cosines = z @ latent.T
-                    best: dict[tuple[int, int], float] = {}  # by passage and item, as an item has several passages
-                    for p, q in zip(*np.nonzero(cosines >= COSINE), strict=True):
-                        best[p, owners[q]] = max(best.get((p, owners[q]), 0.0), float(cosines[p, q]))
-                    for (p, item), cosine in best.items():
-                        start = starts[chosen[p]]
-                        doc = ids[owner[start]]
-                        pair = out.setdefault((doc, item), [0.0, 0, (False, 0.0), set()])
-                        pair[0] = max(pair[0], cosine)
-                        whole_item = texts[item]
-                        lo, hi = np.searchsorted(owner, owner[start]), np.searchsorted(owner, owner[start], "right")
-                        bin_ = start // PASSAGE
-                        if (stretch, bin_) not in pair[3]:  # one region holds the runs of all passages of its bin
-                            pair[3].add((stretch, bin_))
-                            reach = len(whole_item) + PASSAGE
-                            region = _decode(points[max(lo, bin_ * PASSAGE - reach) : min(hi, (bin_ + 1) * PASSAGE + reach)])
-                            pair[1] = max(pair[1], _common_run(whole_item, region, least))
-                        passage = _decode(points[start : min(hi, start + PASSAGE)])
-                        numbers = "".join(x if x.isdigit() else " " for x in passage).split()
-                        same = all(x in whole_item for x in numbers)
-                        if (same, 1.0) > pair[2]:  # else it can't be better
-                            pair[2] = max(pair[2], (same, _common_subsequence(passage, whole_item) / max(1, len(passage))))
-            yield pd.DataFrame([(d, keys[i], v[0], v[1], v[2][1], v[2][0]) for (d, i), v in out.items()], columns=["doc_id", "item_id", "cosine", "run", "subsequence", "same_numbers"])
+                    z /= np.maximum(np.linalg.norm(z, axis=1), 1e-12)[:, None]
+                    cosines = z.astype(np.float32) @ latent.T
+                    p, q = np.nonzero(cosines >= least_cosine)
+                    near.append((starts[chosen[p]], q, cosines[p, q]))
+                if not near:
+                    continue
+                start, q, cosine = map(np.concatenate, zip(*near, strict=True))
+                # One row per passage and item, as an item has several passages.
+                order = np.lexsort((start, owners[q]))
+                start, q, cosine = start[order], q[order], cosine[order]
+                item = owners[q]
+                group = np.flatnonzero(np.diff(start, prepend=-1) | np.diff(item, prepend=-1))
+                if not len(group):
+                    continue
+                best = np.maximum.reduceat(cosine, group)
+                bound = np.append(group, len(start))
+                text_end = np.searchsorted(owner, owner[start[group]], "right")
+                length = np.minimum(PASSAGE, text_end - start[group])
+                common = _common_subsequences(points, start[group], length, item[group], columns)
+                # A common run of ``least`` leaves all but STRIDE - 1 of its characters to a passage that begins in it.
+                run_like = np.maximum(1, np.minimum(length, least) - STRIDE + 1)
+                kept = np.flatnonzero(common >= (np.minimum(np.ceil(share * length), run_like) if judged else run_like))
+                for g in kept:
+                    s, i = int(start[group[g]]), int(item[group[g]])
+                    pair = out.setdefault((ids[owner[s]], i), [0.0, 0, 0.0, set()])
+                    pair[0] = max(pair[0], float(best[g]))
+                    lo, hi = int(np.searchsorted(owner, owner[s])), int(text_end[g])
+                    whole = texts[i]
+                    bin_ = s // PASSAGE
+                    if common[g] >= run_like[g] and bin_ not in pair[3]:  # one region holds the runs of all passages of its bin
+                        pair[3].add(bin_)
+                        reach = len(whole) + PASSAGE
+                        region = _decode(points[max(lo, bin_ * PASSAGE - reach) : min(hi, (bin_ + 1) * PASSAGE + reach)])
+                        pair[1] = max(pair[1], _common_run(whole, region, least))
+                    if judged and common[g] >= share * length[g]:
+                        left, end = max(lo, s - AROUND), s + int(length[g])
+                        around = _decode(points[left : min(hi, end + AROUND)])
+                        numbers, names = answers[i]
+                        if not _same_numbers(around, s - left, end - left, numbers):
+                            continue
+                        for o in set(origins[q[bound[g] : bound[g + 1]]].tolist()):
+                            if all(x in around for at, x in names if o <= at and at + len(x) <= o + PASSAGE):
+                                got = _common_subsequence(around[s - left : end - left], whole[max(0, o - AROUND) : o + PASSAGE + AROUND])
+                                pair[2] = max(pair[2], got / (end - s))
+                for pair in out.values():  # places of the next stretch are others
+                    pair[3].clear()
+            yield pd.DataFrame([(d, keys[i], *v[:3]) for (d, i), v in out.items()], columns=["doc_id", "item_id", "cosine", "run", "subsequence"])
 
     return docs.select(F.col(doc_key).alias("doc_id"), F.col(text).alias("text")).where("text is not null").mapInPandas(search, schema)
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", least: int = 60) -> DataFrame:
-    """Candidates (doc_id, item_id, cosine, run, subsequence, same_numbers), one row per document and item.
+def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", least: int = 60,
+          share: float = 0.8, judged: bool = True) -> DataFrame:
+    """Candidates (doc_id, item_id, cosine, run, subsequence), one row per document and item.
 
-    ``run`` is the length of the longest stretch of letters and digits that both share, 0 if under ``least``;
-    ``subsequence`` the share of the best passage's characters that stand in the item in that order; ``same_numbers``
-    whether that passage's numbers all stand in the item, true if it has none. A passage with the item's numbers is better
-    than one without. Null and empty texts match nothing; rows with a null key are left
-    out; repeated documents are rows of their own, and an item given twice counts once. Empty tables give no rows.
+    ``run`` is the length of the longest stretch of letters and digits that both share, 0 if under ``least``. With
+    ``judged``, every passage that comes near by cosine is held against each of the item's passages it comes near to: where
+    it gives the same answers, ``subsequence`` is the largest share of its characters that stand there, or AROUND
+    characters beside, in that order; else 0. Answers are the same if the passage's numbers, as whole numbers, all stand in
+    the item, and the names in the item's passage all stand in or beside the document's; without numbers and names they
+    are. Null and empty texts match nothing; rows with a null key are left out; repeated documents are rows of their own,
+    and an item given twice counts once. Empty tables give no rows.
 
     The evaluation set is read in blocks of about BLOCK_CHARS characters, each of which is searched against all
     documents; nothing else passes through the driver.
@@ -361,17 +446,17 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
     found = []
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        found.append(_block_leaks(docs, [(r["item_id"], r["text"]) for r in block], n_docs, doc_key, text, least))
+        found.append(_block_leaks(docs, [(r["item_id"], r["text"]) for r in block], n_docs, doc_key, text, least, share, judged))
     return reduce(DataFrame.unionByName, found)
 
 
 def leaked(docs: DataFrame, items: DataFrame, least: int = 60) -> DataFrame:
     """(doc_id, item_id) of documents that share at least ``least`` letters and digits in a row with an item."""
-    hits = leaks(docs, items, least=least).where(F.col("run") >= least)
+    hits = leaks(docs, items, least=least, judged=False).where(F.col("run") >= least)
     return hits.select("doc_id", "item_id").distinct()
 
 
 def paraphrased(docs: DataFrame, items: DataFrame, share: float = 0.8, least: int = 60) -> DataFrame:
-    """Candidates without such a run, a passage of which still stands in the item in order and has no number besides the item's."""
-    near = leaks(docs, items, least=least).where((F.col("run") < least) & (F.col("subsequence") >= share) & F.col("same_numbers"))
+    """Candidates without such a run, a passage of which still stands in the item in order and gives the same answers."""
+    near = leaks(docs, items, least=least, share=share).where((F.col("run") < least) & (F.col("subsequence") >= share))
     return near.groupBy("doc_id", "item_id").agg(F.round(F.max("cosine"), 4).alias("cosine"), F.round(F.max("subsequence"), 4).alias("subsequence"))
