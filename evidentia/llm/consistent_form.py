@@ -1,8 +1,9 @@
 """Texts that look the same, brought to one form.
 
 ``consistent(text)`` removes default-ignorable characters, applies compatibility normalisation in composed form, maps
-every kind of space to a space, and rewrites look-alike letters of other scripts to the script of their word. Letter
-case, accents, punctuation, digits and the number of spaces stay; digits never stand for letters. ``lowered(text)`` is
+every kind of space to a space, and rewrites look-alike letters of other scripts to the script of their word: letters
+that Unicode's confusables give the shape of a Latin one. Letters whose shape differs visibly (a dotless i, a small capital
+A) stay, and so does a word wholly in another script. Letter case, accents, punctuation, digits and the number of spaces stay; digits never stand for letters. ``lowered(text)`` is
 the same in lower case and ``folded(text)`` in full case folding, for comparisons that ignore case.
 """
 
@@ -31,12 +32,24 @@ _SPACE_RANGES = ((0x9, 0x9), (0xB, 0xC), (0x1C, 0x1F), (0xA0, 0xA0), (0x1680, 0x
                  (0x205F, 0x205F), (0x3000, 0x3000))
 _BREAK_RANGES = ((0xD, 0xD), (0x85, 0x85), (0x2028, 0x2029))
 _LATIN_RANGES = ((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F), (0x1E00, 0x1EFF))
-_OTHER_RANGES = ((0x370, 0x3FF), (0x1F00, 0x1FFF), (0x400, 0x52F), (0x531, 0x587))
-# Letters that look alike, other script first. Of the Cyrillic ones, those in Russian stand first.
-_CYRILLIC = "АВЕКМНОРСТУХаеорсух", "ABEKMHOPCTYXaeopcyx"
-_CYRILLIC_RARE = "ЅІЈԚԜѕіјһԁԛԝӏ", "SIJQWsijhdqwl"
-_GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρ", "ABEZHIKMNOPTYXovp"
-_ARMENIAN = "Օօ", "Oo"
+_PHONETIC_RANGES = ((0x250, 0x2AF), (0x1D00, 0x1D7F))
+_SCRIPT_RANGES = {
+    "g": ((0x370, 0x3FF), (0x1F00, 0x1FFF)), "c": ((0x400, 0x52F),), "l": _PHONETIC_RANGES,
+    "other": ((0x531, 0x587), (0x13A0, 0x13FD), (0x2C80, 0x2CFF), (0xA4D0, 0xA4F7), (0xAB70, 0xABBF)),
+}
+_OTHER_RANGES = tuple(r for ranges in _SCRIPT_RANGES.values() for r in ranges)
+# Letters that look like a Latin one by the confusables of Unicode Technical Standard 39, restricted to
+# letters, by script; the other script first. Where its prototype stands for several letters, the one of the same case.
+_CYRILLIC = "АВЕКМНОРСТУХЬагеорсух", "ABEKMHOPCTYXbareopcyx"
+_CYRILLIC_RARE = "ЅІЈѕіјһҮүҽӀԁԌԛԜԝѡѴѵ", "SIJsijhYyeIdGqWwwVv"
+_CYRILLIC_DRAWN = "ӏԚ", "lQ"  # drawn alike, though not in that list
+_GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγιυσονρ", "ABEZHIKMNOPTYXayiuoovp"
+_GREEK_RARE = "ͿϜϳϺ", "JFjM"
+_ARMENIAN = "ՍՏՕագզհոռսցքօ", "USOwqqhnnugfo"
+_PHONETIC = "ɑɡɣɩɪɯʋʏᴄᴏᴑᴜᴠᴡᴢ", "agyiiwuycoouvwz"
+_CHEROKEE = "ᎠᎡᎢᎥᎩᎪᎫᎬᎳᎷᎻᎽᏀᏂᏃᏏᏒᏔᏕᏙᏚᏞᏟᏢᏦᏧᏳᏴꭵꮃꮓꮩꮪꮯ", "DRTiYAJEWMHYGhZbRWSVSLCPKdGBiwzvsc"
+_LISU = "ꓐꓑꓒꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPdDTGKJCZFMNLSRVHWXYAEIOU"
+_COPTIC = "ⲎⲒⲔⲘⲚⲞⲟⲢⲣⲤⲥⲦⲨⲬⳐ", "HIKMNOoPpCcTYXL"
 
 
 def _class(ranges: tuple[tuple[int, int], ...]) -> str:
@@ -47,7 +60,8 @@ def _twins(*pairs: tuple[str, str]) -> dict[int, str]:
     return {ord(a): b for x, y in pairs for a, b in zip(x, y, strict=True)}
 
 
-_TO_LATIN = _twins(_CYRILLIC, _CYRILLIC_RARE, _GREEK, _ARMENIAN)
+_TO_LATIN = _twins(_CYRILLIC, _CYRILLIC_RARE, _CYRILLIC_DRAWN, _GREEK, _GREEK_RARE, _ARMENIAN, _PHONETIC, _CHEROKEE, _LISU, _COPTIC)
+# The other way the last of several letters counts.
 _TO_SCRIPT = {"c": _twins(_CYRILLIC[::-1]), "g": _twins(_GREEK[::-1])}
 _LATIN, _OTHER = _class(_LATIN_RANGES), _class(_OTHER_RANGES)
 _TWIN_LATIN, _TWIN_OTHER = "".join(sorted(set(_TO_LATIN.values()))), "".join(map(chr, _TO_LATIN))
@@ -58,20 +72,26 @@ _BREAK = re.compile(f"\r\n|[{_class(_BREAK_RANGES)}]")
 _ODD_ASCII = re.compile("[\t\x0b\x0c\x1c-\x1f\r]")
 _HAS_OTHER, _HAS_LATIN = re.compile(f"[{_OTHER}]"), re.compile(f"[{_LATIN}]")
 _WORD = re.compile(f"[{_LATIN}{_OTHER}][{_LATIN}{_OTHER}\u0300-\u036f]*")
-_OWN_LATIN = re.compile(f"(?![{_TWIN_LATIN}])[{_LATIN}]")
+_OWN_LATIN = re.compile("[%s]" % "".join(c for a, b in _LATIN_RANGES for c in map(chr, range(a, b + 1)) if c not in "".join((*_CYRILLIC, *_GREEK, *_CYRILLIC_RARE, *_CYRILLIC_DRAWN))))
+_ALIEN = re.compile(f"[{_class(_SCRIPT_RANGES['other'])}]")
 _OWN_OTHER = re.compile(f"(?![{_TWIN_OTHER}])[{_OTHER}]")
 _ONLY = {s: re.compile("[%s\u0300-\u036f]*" % "".join(x + y)) for s, (x, y) in (("c", _CYRILLIC), ("g", _GREEK))}
 _STOP = re.compile("[.!?:;\n]")
 
 
 def _script(word: str) -> str | None:
-    """The script a word is meant in: that of its letters without a twin, else Latin, or None if others are possible."""
+    """The script a word is meant in: that of its letters without a twin, else Latin, or None if others are possible.
+
+    A word of two or more letters wholly in Armenian, Cherokee, Lisu or Coptic script is meant in that.
+    """
     bare = unicodedata.normalize("NFD", word)
     if _OWN_LATIN.search(bare):
         return "l"
     if m := _OWN_OTHER.search(bare):
         o = ord(m.group())
-        return "c" if 0x400 <= o < 0x530 else "g" if o < 0x400 or o >= 0x1F00 else "a"
+        return next(s for s, ranges in _SCRIPT_RANGES.items() if any(a <= o <= b for a, b in ranges))
+    if len(bare) > 1 and not _HAS_LATIN.search(bare) and _ALIEN.search(bare) and any(c not in "Օօ" for c in bare):
+        return "other"
     return None if any(p.fullmatch(bare) for p in _ONLY.values()) else "l"
 
 
@@ -93,7 +113,7 @@ def _rewrite_lookalikes(text: str) -> str:
                 continue
             table = _TO_LATIN
         else:
-            if known == "a" or not _HAS_LATIN.search(word):
+            if known == "other" or not _HAS_LATIN.search(word):
                 continue
             table = _TO_SCRIPT[known]
         out += (text[at : m.start()], unicodedata.normalize("NFC", unicodedata.normalize("NFD", word).translate(table)))
@@ -160,15 +180,21 @@ def form_digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"form": [p[0] for p in pairs], "raw": [p[1] for p in pairs]}, dtype=object)
 
 
+@F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("form", "folded", "form_id")]))
+def _forms(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for s in batches:
+        known = {v: (consistent(v), folded(v), _digest(consistent(v)).hex()) for v in s.dropna().unique()}
+        rows = [known.get(v, (None, None, None)) for v in s]
+        yield pd.DataFrame(rows, columns=["form", "folded", "form_id"], dtype=object)
+
+
 def consistent_texts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per row of ``df``: its key, its text in consistent form and, as ``form_id``, the form's digest.
+    """One row per row of ``df``: its key, its text in consistent form, that form without letter case (full folding) and, as
+    ``form_id``, the form's 128-bit digest in hex, which is the class of texts that look the same.
 
-    Null texts have a null form and form_id; empty texts an empty form. Extra columns are left out.
+    Null texts have null forms and form_id; empty texts empty forms. Extra columns are left out.
     """
-    form = consistent_form(F.col(text))
-    return df.select(F.col(key).alias("key"), form.alias("form")).select(
-        "key", "form", F.xxhash64("form").alias("form_id")
-    )
+    return df.select(F.col(key).alias("key"), _forms(F.col(text)).alias("f")).select("key", "f.*")
 
 
 def equal_looking_pairs(df: DataFrame, key: str, text: str) -> DataFrame:

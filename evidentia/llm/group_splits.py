@@ -84,7 +84,8 @@ def must_share(samples: DataFrame, catalog: DataFrame) -> DataFrame:
     return a.join(b, "component").where("doc_name_a < doc_name_b").select("doc_name_a", "doc_name_b")
 
 
-def _domain(column: str) -> F.Column:
+def domain_name(column: str) -> F.Column:
+    """A domain without the unevenness of its spelling; null where it is blank."""
     text = F.lower(F.regexp_replace(trimmed(column), r"(?U)[\s_]+", " "))
     return F.when(text == "", None).otherwise(text)
 
@@ -100,7 +101,7 @@ def group_splits(samples: DataFrame, catalog: DataFrame, proportions: tuple[tupl
 
     The running total is one over size classes and hash ranges, at most 16384 rows a class, plus one within each range.
     """
-    q = samples.select(trimmed("q_id").alias("q_id"), "doc_name", _domain("domain").alias("domain"), F.struct("ingested_at", "sample_pos").alias("at"))
+    q = samples.select(trimmed("q_id").alias("q_id"), "doc_name", domain_name("domain").alias("domain"), F.struct("ingested_at", "sample_pos").alias("at"))
     q = q.where("q_id is not null and q_id <> ''").groupBy("q_id").agg(F.max_by(F.struct("doc_name", "domain"), "at").alias("x"))
     q = q.select("q_id", "x.doc_name", "x.domain")
     c = document_components(q, catalog)
@@ -128,3 +129,21 @@ def group_splits(samples: DataFrame, catalog: DataFrame, proportions: tuple[tupl
     split = reduce(lambda rest, e: F.when(F.col("middle") < e[1], e[0]).otherwise(rest), reversed(edges[:-1]), F.lit(edges[-1][0]))
     chosen = laid.select("component", middle.alias("middle")).select("component", split.alias("split"))
     return q.join(chosen, "component").select("q_id", "component", "domain", "split")
+
+
+def split_shares(splits: DataFrame, proportions: tuple[tuple[str, float], ...] = PROPORTIONS) -> DataFrame:
+    """(domain, split, n, share, target, error): the shares that the splits of each domain's own questions reach, and
+    under the domain ``all`` those of all questions; a null domain is ``unknown``. A split that got nothing has n 0."""
+    of = splits.select(F.explode(F.array(F.lit("all"), F.coalesce("domain", F.lit("unknown")))).alias("domain"), "split")
+    n = of.groupBy("domain").agg(F.count("*").alias("total"), *(F.count_if(F.col("split") == name).alias(name) for name, _ in proportions))
+    wide = F.array(*(F.struct(F.lit(name).alias("split"), F.col(name).alias("n"), F.lit(share).alias("target")) for name, share in proportions))
+    rows = n.select("domain", "total", F.inline(wide))
+    share = F.col("n") / F.col("total").cast("double")
+    return rows.select("domain", "split", "n", F.round(share, 6).alias("share"), "target", F.round(share - F.col("target"), 6).alias("error"))
+
+
+def name_classes(samples: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(doc_name, component, n_names): the class of every distinct document name and its number of names, which stands for
+    all pairs of names that must share a split."""
+    c = cut_lineage(document_components(samples, catalog))
+    return c.join(c.groupBy("component").agg(F.count("*").alias("n_names")), "component").select("doc_name", "component", "n_names")

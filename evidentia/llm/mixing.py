@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -23,29 +24,35 @@ BLOCKS = 4000
 BLOCK_TOKENS = 1 << 20
 #: Blocks of an output shard.
 SHARD_BLOCKS = 64
-_encodings: dict[str, object] = {}
+_encodings: dict[bytes, object] = {}
 
 
-def _encoding(path: str):
-    if path not in _encodings:
-        import public_tokenizers
+def _encoding(pattern: str, content: bytes):
+    key = hashlib.sha256(content).digest()
+    if key not in _encodings:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encodings[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encodings[path]
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
+        _encodings[key] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _encodings[key]
 
 
-def token_count(text: Column | str, path: str = TOKENIZER) -> Column:
-    """Tokens of a text under the public tokenizer at ``path``; null for null."""
+def token_count(spark: SparkSession, text: Column | str, path: str = TOKENIZER) -> Column:
+    """Tokens of a text under the public tokenizer whose ranks the file at ``path`` holds; null for null.
+
+    The file, under a megabyte, is read once by the driver, from a local path, and broadcast, so executors need no copy.
+    """
+    import public_tokenizers
+
+    with open(path, "rb") as f:
+        known = spark.sparkContext.broadcast((public_tokenizers.PATTERN, f.read()))
 
     @F.pandas_udf(T.LongType())
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = _encoding(path).encode_ordinary
+        encode = _encoding(*known.value).encode_ordinary
         for s in batches:
-            known = {v: len(encode(v)) for v in s.dropna().unique()}
-            yield s.map(known).astype("Int64")
+            sizes = {v: len(encode(v)) for v in s.dropna().unique()}
+            yield s.map(sizes).astype("Int64")
 
     return count(text)
 
@@ -90,18 +97,23 @@ def _walk(counts: list[int], sizes: list[int], seed: int, shards: pd.Series) ->
 
 
 def mixture(
-    docs: DataFrame, targets: DataFrame, tokens: Column | None = None, total_tokens: int | None = None, seed: int = 7, key: str = "doc_id"
-) -> tuple[DataFrame, DataFrame]:
+    docs: DataFrame, targets: DataFrame, tokens: Column | None = None, total_tokens: int | None = None, seed: int = 7, key: str = "doc_id",
+    tokenizer: str = TOKENIZER,
+) -> tuple[DataFrame, DataFrame]:
     """(mixture, report).
 
     mixture: one row per use of a document, (doc_id, source, copy, n_tokens, shard, position); ``copy`` counts a document's
     uses from 0, ``position`` is its place in its shard, a random order. report: per target source (source,
-    target_share, max_repeats, n_docs, n_tokens, mixed_tokens, actual_share, in_reach).
+    target_share, max_repeats, n_docs, n_tokens, mixed_tokens, actual_share, in_reach, error, reach_share, reach_error):
+    ``error`` is the actual share less the target; ``reach_share`` is a source's actual share of what the sources in reach
+    contribute, and ``reach_error`` that less its target among theirs, null for sources out of reach.
 
     The mixture aims at ``total_tokens``, by default the size of all documents of the sources with a target. Documents of
     a source are put in a random order and cut into blocks of equal tokens; a source's quota is its share in blocks, at
     most its blocks times max_repeats. A source out of reach is used up to its cap and the report tells; the others
-    aren't stretched in its place. Quotas are split among shards by a tree of multivariate hypergeometric draws; each
+    aren't stretched in its place, so their shares hold among themselves, and each is above its target of the whole by what
+    is missing. What a source contributes beyond whole passes over its documents is one stretch of its random order, so that
+    a quota is met up to a document on each side. Quotas are split among shards by a tree of multivariate hypergeometric draws; each
     shard gets disjoint stretches of the sources' permuted blocks, and is shuffled by itself.
 
     Sources are compared trimmed and in lower case; documents whose source is null, blank or without a target, or with
@@ -112,7 +124,7 @@ def mixture(
     weights = targets.select(_source("source").alias("source"), F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)).alias("target_share"), F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)).alias("max_repeats"))
     weights = weights.where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     weights = cut_lineage(weights)
-    counted = docs.select(F.col(key).alias("doc_id"), _source("source").alias("source"), (token_count("text") if tokens is None else tokens).alias("n_tokens"))
+    counted = docs.select(F.col(key).alias("doc_id"), _source("source").alias("source"), (token_count(spark, "text", tokenizer) if tokens is None else tokens).alias("n_tokens"))
     counted = counted.where("source is not null and n_tokens > 0").join(broadcast_if_small(weights.select("source")), "source", "left_semi")
     place = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40))
     counted = cut_lineage(counted.withColumn("place", place))
@@ -128,9 +140,9 @@ def mixture(
         wanted = round(r["target_share"] * size / block)
         counts.append(min(wanted, n_blocks * r["max_repeats"]))
         rng = np.random.default_rng([seed, k])
-        times = _coprime(int(rng.integers(1 << 30)), n_blocks) if n_blocks else 1
-        inverse = pow(times, -1, n_blocks) if n_blocks > 1 else 0
-        plan.append((k, r["source"], max(n_blocks, 1), inverse, int(rng.integers(1 << 30)), bool(counts[-1] >= wanted)))
+        full, rest = max(n_blocks, 1), max(1, counts[-1] % max(n_blocks, 1))
+        times = [_coprime(int(rng.integers(1 << 30)), n) for n in (full, rest)]
+        plan.append((k, r["source"], full, times[0], counts[-1] // full, rest, times[1], int(rng.integers(1 << 30)), bool(counts[-1] >= wanted)))
     total = sum(counts)
     n_shards = max(1, math.ceil(total / SHARD_BLOCKS))
     sizes = [total // n_shards + (i < total % n_shards) for i in range(n_shards)]
@@ -140,12 +152,15 @@ def mixture(
             yield _walk(counts, sizes, seed, b["id"])
 
     stretches = spark.range(n_shards).mapInPandas(walk, "shard long, k long, lo long, hi long").where("lo < hi")
-    sources = spark.createDataFrame(plan, "k long, source string, n_blocks long, inverse long, turn long, in_reach boolean")
+    sources = spark.createDataFrame(plan, "k long, source string, n_blocks long, times long, passes long, n_rest long, times_rest long, turn long, in_reach boolean")
     drawn = stretches.select("shard", "k", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("v")).join(F.broadcast(sources), "k")
-    # The v-th draw of a source is, in pass v / n_blocks, the block that the pass's permutation puts at v % n_blocks.
-    copy = F.floor(F.col("v") / F.col("n_blocks"))
-    turned = F.pmod(F.pmod("v", "n_blocks") + F.col("turn") * (copy + 1), F.col("n_blocks"))
-    drawn = drawn.select("shard", "source", copy.alias("copy"), F.pmod(turned * F.col("inverse"), F.col("n_blocks")).alias("block"))
+    # The v-th draw of a source falls in pass v / n_blocks. A whole pass takes all blocks in a permuted order; the last one
+    # takes its n_rest blocks, permuted, from one stretch of them.
+    copy, at = F.floor(F.col("v") / F.col("n_blocks")), F.pmod("v", "n_blocks")
+    last = copy >= F.col("passes")
+    n, times = (F.when(last, F.col(y)).otherwise(F.col(x)) for x, y in (("n_blocks", "n_rest"), ("times", "times_rest")))
+    which = F.pmod(F.pmod(at * times, n) + F.col("turn") * (copy + 1), F.col("n_blocks"))
+    drawn = drawn.select("shard", "source", copy.alias("copy"), which.alias("block"))
     # Running totals of tokens in the random order: one over ranges of places, one within each range.
     ranges = 1 << max(6, min(20, math.ceil(math.log2(n_docs / 1000 + 1))))
     counted = counted.withColumn("range", F.floor(F.col("place") / ((1 << 40) // ranges)))
@@ -164,7 +179,12 @@ def mixture(
     zero = F.lit(0).cast("long")
     report = report.select(
         "source", "target_share", "max_repeats", F.coalesce("n_docs", zero).alias("n_docs"), F.coalesce("n_tokens", zero).alias("n_tokens"),
-        F.coalesce("mixed_tokens", zero).alias("mixed_tokens"),
-        F.coalesce(F.try_divide("mixed_tokens", F.sum("mixed_tokens").over(Window.partitionBy())), F.lit(0.0)).alias("actual_share"), "in_reach",
+        F.coalesce("mixed_tokens", zero).alias("mixed_tokens"), "in_reach",
     )
+    whole = Window.partitionBy()  # one row per target source
+    of = lambda x, condition=F.lit(True): F.try_divide(F.col(x), F.sum(F.when(condition, F.col(x))).over(whole))
+    report = report.withColumn("actual_share", F.coalesce(of("mixed_tokens"), F.lit(0.0)))
+    report = report.withColumn("error", F.col("actual_share") - F.col("target_share"))
+    report = report.withColumn("reach_share", F.when(F.col("in_reach"), of("mixed_tokens", F.col("in_reach"))))
+    report = report.withColumn("reach_error", F.col("reach_share") - of("target_share", F.col("in_reach")))
     return uses, report

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm.consistent_form import consistent_texts, equal_looking_pairs
-from evidentia.llm.cross_split import overlap_report, split_overlaps
-from evidentia.llm.group_splits import group_splits, must_share
+from evidentia.llm.cross_split import overlap_classes, overlap_report, split_overlaps
+from evidentia.llm.group_splits import group_splits, must_share, name_classes, split_shares
 from evidentia.llm.leaks import leaked, paraphrased
 from evidentia.llm.mixing import mixture
 from evidentia.llm.pieces import cut_to_pieces
@@ -26,6 +26,14 @@ def p1_splits(spark: SparkSession, d: str) -> DataFrame:
     return group_splits(table(spark, d, "samples"), table(spark, d, "doc_catalog")).select("q_id", "domain", "split")
 
 
+def p1_shares(spark: SparkSession, d: str) -> DataFrame:
+    return split_shares(group_splits(table(spark, d, "samples"), table(spark, d, "doc_catalog")))
+
+
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    return name_classes(table(spark, d, "samples"), table(spark, d, "doc_catalog"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return best_quotes(table(spark, d, "scores"))
 
@@ -40,6 +48,10 @@ def p3_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return overlap_report(split_overlaps(table(spark, d, "samples")))
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    return overlap_classes(table(spark, d, "samples"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     contents = equal_looking_pairs(table(spark, d, "candidates"), "cand_id", "content")
     questions = equal_looking_pairs(table(spark, d, "samples"), "sample_pos", "question")
@@ -93,7 +105,7 @@ def p8_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        p1_found, p1_splits, p2_found, p3_found, p3_overlaps, p4_found, p4_forms, p5_found, p5_pieces,
+        p1_found, p1_splits, p1_shares, p1_classes, p2_found, p3_found, p3_overlaps, p3_classes, p4_found, p4_forms, p5_found, p5_pieces,
         p6_found, p6_paraphrases, p7_mixture, p7_shares, p8_found, p8_sentences,
     )
     return {f.__name__: f for f in found}

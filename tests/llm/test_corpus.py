@@ -269,6 +269,9 @@ def test_mixture(spark):
     assert r["a"]["in_reach"] and not r["c"]["in_reach"] and not r["gone"]["in_reach"]
     assert r["c"]["mixed_tokens"] == 3 * r["c"]["n_tokens"]
     assert sum(x["actual_share"] for x in r.values()) == pytest.approx(1) and sum(x["mixed_tokens"] for x in r.values()) == total
+    # Among the sources in reach, shares hold to about a document.
+    assert all(abs(r[x]["reach_error"]) < 80 / total for x in "ab") and r["c"]["reach_error"] is None
+    assert r["a"]["error"] == pytest.approx(r["a"]["actual_share"] - 0.5)
     empty, none = mixture(d.limit(0), t, tokens=F.col("t"))
     assert empty.count() == 0 and none.count() == 4
     assert mixture(d, t.limit(0), tokens=F.col("t"))[0].count() == 0
@@ -282,5 +285,5 @@ def test_tokenizer_counts(spark):
     except OSError:
         pytest.skip("no tokenizer files here")
     df = spark.createDataFrame([("hello world",), ("",), (None,), ("<|endoftext|> " + "é" * 20_000,)], "text string")
-    n = [r["n"] for r in df.select(token_count("text").alias("n")).collect()]
+    n = [r["n"] for r in df.select(token_count(spark, "text", TOKENIZER).alias("n")).collect()]
     assert n[0] > 0 and n[1] == 0 and n[2] is None and n[3] > 100

@@ -68,18 +68,18 @@ def test_consistent_texts_keep_every_row(spark):
     assert consistent_texts(df, "k", "t").count() == 4
 
 
-LIMITS = [("text", 60, 10), ("image", 40, 0), ("wide", 20, 19), (None, 5, 1)]
+LIMITS = [("text", 60, 10), ("image", 40, 0), ("wide", 20, 19), ("most", 30, 17), (None, 5, 1)]
 
 
-def texts():
+def texts(big=True):
     rng = random.Random(2)
-    out = ["", "short", "a" * 60, "a" * 61, "word " * 40, "One. Two! Three? " * 20, "p1 line\n\n" * 30, "漢字。" * 60, "👩🏽‍🔬🇺🇳" * 30, "é" * 100, "\n" * 90, "x" * 100_000]
+    out = ["", "short", "a" * 60, "a" * 61, "word " * 40, "One. Two! Three? " * 20, "p1 line\n\n" * 30, "漢字。" * 60, "👩🏽‍🔬🇺🇳" * 30, "é" * 100, "\n" * 90, "x" * (100_000 if big else 2000)]
     return out + ["".join(rng.choice("ab .\n!é漢👍") for _ in range(rng.randint(0, 400))) for _ in range(40)]
 
 
-@pytest.mark.parametrize(("kind", "most", "overlap"), [("text", 60, 10), ("image", 40, 0), ("wide", 20, 10)])
+@pytest.mark.parametrize(("kind", "most", "overlap"), [("text", 60, 10), ("image", 40, 0), ("wide", 20, 19), ("most", 30, 17)])
 def test_pieces_round_trip(spark, kind, most, overlap):
-    rows = [(i, kind, t) for i, t in enumerate(texts())]
+    rows = [(i, kind, t) for i, t in enumerate(texts(kind != "wide"))]
     df = clashing(spark.createDataFrame([*rows, (900, kind, None), (901, None, "x" * 99), (902, "other", "x" * 99)], "cand_id bigint, modality string, content string"))
     limits = spark.createDataFrame(LIMITS, "modality string, max_chars int, overlap_chars int")
     by = {}
@@ -102,3 +102,44 @@ def test_pieces_prefer_strong_boundaries(spark):
     assert first["piece"] == "Some words here and on.\n\n"
     assert cut_to_pieces(df.limit(0), limits).count() == 0
     assert cut_to_pieces(df, limits.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("most", "overlap"), [(0, 0), (10, 10), (10, 12), (10, -1)])
+def test_pieces_that_cannot_be_cut_are_errors(spark, most, overlap):
+    limits = spark.createDataFrame([("text", most, overlap)], "modality string, max_chars int, overlap_chars int")
+    df = spark.createDataFrame([(1, "text", "x" * 50)], "cand_id bigint, modality string, content string")
+    with pytest.raises(Exception, match="no pieces of"):
+        cut_to_pieces(df, limits).collect()
+
+
+@pytest.mark.parametrize(
+    ("a", "b", "same"),
+    [("αpple", "apple", True), ("ιt", "it", True), ("υp", "up", True), ("ɑpple", "apple", True), ("ɡo", "go", True), ("Ьoy", "boy", True), ("Ꭺbc", "Abc", True),
+     ("κit", "kit", False), ("ıt", "it", False), ("ᴀbc", "abc", False), ("ꓮbc", "Abc", True), ("ⲣay", "pay", True), ("հow", "how", True)],
+)
+def test_look_alikes_of_every_script(a, b, same):
+    assert (consistent(a) == consistent(b)) is same
+
+
+@pytest.mark.parametrize("text", ["Και το σχέδιο για όλους", "Год и гора уже рос", "Հայոց լեզու", "ᏣᎳᎩ ᎦᏬᏂᎯᏍᏗ", "ЕСТЬ ТУТ МИР", "для всех"])
+def test_texts_of_other_scripts_stay(text):
+    assert consistent(text) == unicodedata.normalize("NFKC", text)
+
+
+def test_look_alikes_are_unicode_confusables(spark):
+    """Every letter of the table and its Latin one have a common skeleton in the library that Spark brings along."""
+    from evidentia.llm.consistent_form import _TO_LATIN
+
+    try:
+        checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    except TypeError:
+        pytest.skip("no such library here")
+    assert {chr(k): v for k, v in _TO_LATIN.items() if checker.getSkeleton(0, chr(k)) != checker.getSkeleton(0, v)} == {"ӏ": "l", "Ԛ": "Q"}
+
+
+def test_forms_have_a_folded_text_and_a_class(spark):
+    df = spark.createDataFrame([(1, "Straße"), (2, "STRASSE"), (3, "Ｓtraße"), (4, None)], "k bigint, t string")
+    r = {x["key"]: x for x in consistent_texts(df, "k", "t").collect()}
+    assert r[1]["folded"] == r[2]["folded"] == "strasse" and r[1]["form"] != r[2]["form"]
+    assert r[1]["form_id"] == r[3]["form_id"] != r[2]["form_id"] and len(r[1]["form_id"]) == 32
+    assert r[4]["form"] is r[4]["folded"] is r[4]["form_id"] is None

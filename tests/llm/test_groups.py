@@ -5,8 +5,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.llm.cross_split import overlap_report, split_overlaps, words_of
-from evidentia.llm.group_splits import components, group_splits, must_share
+from evidentia.llm.cross_split import overlap_classes, overlap_report, split_overlaps, words_of
+from evidentia.llm.group_splits import components, group_splits, must_share, name_classes, split_shares
 from evidentia.llm.top_n import best_of_groups, best_quotes
 
 T0 = dt.datetime(2024, 1, 1)
@@ -58,6 +58,9 @@ def test_must_share(spark):
     assert set(rows) == want and len(rows) == len(want)
     assert {tuple(r) for r in must_share(s, c.limit(0)).collect()} == {("A-x", "a_x.pdf"), ("q", "q ")}
     assert must_share(s.limit(0), c).count() == 0
+    classes = {r["doc_name"]: (r["component"], r["n_names"]) for r in name_classes(s, c).collect()}
+    assert {(a, b) for a in classes for b in classes if a < b and classes[a] == classes[b]} == want
+    assert classes["A-x"][1] == 3 and classes["D"][1] == 1
 
 
 def test_group_splits_keep_groups_and_proportions(spark):
@@ -77,6 +80,10 @@ def test_group_splits_keep_groups_and_proportions(spark):
         n = Counter(r["split"] for r in out if r["domain"] == domain)
         total = sum(n.values())
         assert abs(n["train"] / total - 0.8) < 0.04 and abs(n["test"] / total - 0.1) < 0.04
+    shares = {(r["domain"], r["split"]): r for r in split_shares(group_splits(s, c)).collect()}
+    assert shares["all", "train"]["n"] == sum(r["split"] == "train" for r in out)
+    assert shares["news", "test"]["n"] == sum(r["split"] == "test" and r["domain"] == "news" for r in out)
+    assert all(abs(r["error"]) < 0.04 for (d, _), r in shares.items() if d in ("all", "news", "laws"))
     assert group_splits(s.limit(0), c).count() == 0
 
 
@@ -142,4 +149,8 @@ def test_split_overlaps_against_brute_force(spark):
     assert got == want and len(want) > 50
     report = overlap_report(split_overlaps(df)).collect()
     assert sum(r["n_pairs"] for r in report) == len(want)
+    links = Counter(x for pair in want for x in pair)
+    assert {r["q_id"]: r["n_links"] for r in overlap_classes(df).collect()} == dict(links)
+    uneven = df.withColumn("domain", F.element_at(F.array(*map(F.lit, ("News", " news", "NEWS "))), (F.col("sample_pos") % 3 + 1).cast("int")))
+    assert {r["domain"] for r in overlap_report(split_overlaps(uneven)).collect()} == {"news"}
     assert split_overlaps(df.limit(0)).count() == 0
