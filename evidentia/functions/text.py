@@ -73,12 +73,19 @@ def first_words(c: Column | str, n: int) -> Column:
     return F.array_join(F.slice(F.split(normalize(c), " "), 1, n), " ")
 
 
+def quote_ids(output: Column | str) -> Column:
+    """A model's answer as (listed, mentioned): the ids of its JSON list, without white space around, and those it mentions
+    anywhere; each once, in order."""
+    listed = F.coalesce(F.from_json(_col(output), "array<string>"), F.array().cast("array<string>"))
+    mentioned = F.coalesce(F.regexp_extract_all(_col(output), F.lit(r"\b(?:text|image)\d+\b"), F.lit(0)), F.array().cast("array<string>"))
+    return F.struct(F.array_distinct(F.transform(listed, strip)).alias("listed"), F.array_distinct(mentioned).alias("mentioned"))
+
+
 def parse_quote_ids(output: Column | str, allowed: Column | str) -> Column:
     """Ids of a model's answer that are allowed: of its JSON list, else those it mentions; each once, in order."""
-    listed = F.from_json(_col(output), "array<string>")
-    of_json = F.array_intersect(F.array_distinct(F.coalesce(listed, F.array().cast("array<string>"))), _col(allowed))
-    mentioned = F.regexp_extract_all(_col(output), F.lit(r"\b(?:text|image)\d+\b"), F.lit(0))
-    return F.when(F.size(of_json) > 0, of_json).otherwise(F.array_intersect(F.array_distinct(mentioned), _col(allowed)))
+    ids = quote_ids(output)
+    of_json = F.array_intersect(ids["listed"], _col(allowed))
+    return F.when(F.size(of_json) > 0, of_json).otherwise(F.array_intersect(ids["mentioned"], _col(allowed)))
 
 
 def reranker_prompt(instruction: str, query: Column | str, document: Column | str) -> Column:

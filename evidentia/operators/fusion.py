@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evidentia.operators.ranking import PLACES
+from evidentia.operators.ranking import PLACES, minmax
+from evidentia.session import broadcast_if_small, cut_lineage
 
 
 def linear(weights: dict[str, float]) -> Column:
@@ -24,7 +24,7 @@ def reciprocal_rank_fusion(lists: list[tuple[DataFrame, float]], item: str = "ca
     rows = reduce(
         DataFrame.unionByName,
         (
-            df.select("q_id", item, (F.lit(float(w)) / (F.lit(k) + F.col("rank"))).alias("part"), (F.lit(i << 40) + F.col("rank")).alias("seen"))
+            df.select("q_id", item, (F.lit(float(w)) / (F.lit(k) + F.col("rank"))).alias("part"), F.struct(F.lit(i).alias("list"), F.col("rank").alias("rank")).alias("seen"))
             for i, (df, w) in enumerate(lists)
         ),
     )
@@ -45,7 +45,7 @@ def quota_union(lists: list[tuple[DataFrame, int]], fallback: DataFrame, k: int
         if taken is not None:
             rest = rest.join(taken.select("q_id", "cand_idx"), ["q_id", "cand_idx"], "left_anti")
         place = F.row_number().over(Window.partitionBy("q_id").orderBy("rank"))
-        picked = rest.withColumn("n", place).where(F.col("n") <= quota).select("q_id", "cand_idx", (F.lit(i * 1000) + F.col("n")).alias("at"))
+        picked = rest.withColumn("n", place).where(F.col("n") <= quota).select("q_id", "cand_idx", F.struct(F.lit(i).alias("list"), F.col("n").alias("n")).alias("at"))
         taken = picked if taken is None else taken.unionByName(picked)
     order = Window.partitionBy("q_id").orderBy("at")
     return taken.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k).drop("at")
@@ -75,59 +75,60 @@ def consensus_insert(base: DataFrame, systems: list[DataFrame], k: int = 5) -> D
     return out.select("q_id", F.when(keep, F.col("answer")).otherwise(inserted).alias("answer"))
 
 
-def coverage_select(
-    pool: DataFrame, base: str, rank: str, k: int = 5, page: float = 0.08, layout: float = 0.04, modality: float = 0.05,
-    raw_type: float = 0.03, missing: float = 0.12,
-) -> DataFrame:
-    """(q_id, cand_idx, rank): greedy choice that spreads over pages, layouts, modalities and types, for comparative
-    questions that expect text and pictures and whose first k lack a modality or crowd on two pages; else the first k.
+VISUAL = ("table", "figure", "chart", "image")
 
-    ``pool`` has the columns of a pool, a base score scaled to [0, 1] and a rank. A step takes the best adjusted score,
-    ties to the smaller cand_idx. All candidates of one page, layout, modality and type are adjusted alike at each step,
-    so the k best of each such kind are all that can be taken; kinds that can't reach the k best by any adjustment go
-    too, which bounds what a task gets of a pool of any size.
-    """
-    visual = F.array(*(F.lit(x) for x in ("table", "figure", "chart", "image")))
+
+def needs_coverage(pool: DataFrame, order: DataFrame, k: int = 5) -> DataFrame:
+    """(q_id) of comparative questions that expect text and pictures and whose first k lack a modality or crowd on two pages."""
+    visual = F.array(*map(F.lit, VISUAL))
     mixed = (F.col("question_type") == "Comparative") & F.array_contains("expected", "text") & F.arrays_overlap("expected", visual)
-    first = pool.where(mixed & (F.col(rank) <= k)).groupBy("q_id").agg(
+    first = pool.where(mixed).join(order.where(F.col("rank") <= k), ["q_id", "cand_idx"]).groupBy("q_id").agg(
         F.count_if(F.col("modality") == "text").alias("texts"), F.count_if(F.col("modality") == "image").alias("images"),
         F.count("page_id").alias("pages"), F.countDistinct("page_id").alias("distinct_pages"),
     )
-    first = first.where("texts = 0 or images = 0 or (pages >= 3 and distinct_pages <= 2)").select("q_id")
-    plain = pool.where(F.col(rank) <= k).join(first, "q_id", "left_anti").select("q_id", "cand_idx", F.col(rank).alias("rank"))
-    n = pool.groupBy("q_id").agg(F.count("*").alias("_n"))
-    todo = pool.join(first, "q_id", "left_semi").join(n, "q_id")
-    order = F.when(F.col("_n") <= 1, 1.0).otherwise(1 - (F.col(rank) - 1) / (F.col("_n") - 1).cast("double"))
-    todo = todo.withColumn("score", F.round(0.7 * F.col(base) + 0.3 * order, PLACES))
-    kind = Window.partitionBy("q_id", "page_id", "layout_id", "modality", "raw_type").orderBy(F.desc("score"), F.asc("cand_idx"))
-    todo = todo.withColumn("_k", F.row_number().over(kind)).where(F.col("_k") <= k)
-    # No sum of penalties and bonus over k steps moves a score further than this.
-    reach = page + layout + (modality + raw_type) * k + 2 * missing
-    best = Window.partitionBy("q_id", "modality").orderBy(F.desc("score"), F.asc("cand_idx"))
-    cut = todo.withColumn("_m", F.row_number().over(best)).where(F.col("_m") <= k).groupBy("q_id", "modality").agg(F.min("score").alias("_cut"))
-    todo = todo.join(cut, ["q_id", "modality"]).where(F.col("score") >= F.col("_cut") - reach)
-    wants_visual = F.arrays_overlap("expected", visual).alias("wants_visual")
-    todo = todo.select("q_id", "cand_idx", "page_id", "layout_id", "modality", "raw_type", "score", wants_visual)
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cand_idx").reset_index(drop=True)
-        free = pd.Series(True, pdf.index)
-        chosen: list[int] = []
-        while free.any() and len(chosen) < k:
-            got = pdf.loc[chosen]
-            score = pdf["score"].copy()
-            score -= page * (pdf["page_id"].notna() & pdf["page_id"].isin(got["page_id"].dropna()))
-            score -= layout * (pdf["layout_id"].notna() & pdf["layout_id"].isin(got["layout_id"].dropna()))
-            kinds, types = got["modality"].value_counts(), got["raw_type"].value_counts()
-            score -= modality * (pdf["modality"].map(kinds).fillna(0) - 1).clip(lower=0)
-            score -= raw_type * pdf["raw_type"].map(types).fillna(0)
-            if "text" not in kinds:
-                score += missing * (pdf["modality"] == "text")
-            if "image" not in kinds:
-                score += missing * ((pdf["modality"] == "image") & pdf["wants_visual"])
-            chosen.append(int(score[free].round(9).idxmax()))
-            free[chosen[-1]] = False
-        return pd.DataFrame({"q_id": pdf["q_id"].iloc[0], "cand_idx": pdf.loc[chosen, "cand_idx"].to_numpy(), "rank": range(1, len(chosen) + 1)})
-
-    spread = todo.groupBy("q_id").applyInPandas(choose, "q_id string, cand_idx bigint, rank bigint")
+    return first.where("texts = 0 or images = 0 or (pages >= 3 and distinct_pages <= 2)").select("q_id")
+
+
+def coverage_select(
+    pool: DataFrame, base: str, order: DataFrame, k: int = 5, page: float = 0.08, layout: float = 0.04, modality: float = 0.05,
+    raw_type: float = 0.03, missing: float = 0.12,
+) -> DataFrame:
+    """(q_id, cand_idx, rank): greedy choice that spreads over pages, layouts, modalities and types for questions that need
+    it (``needs_coverage``); else the first k of ``order`` (q_id, cand_idx, rank).
+
+    A step takes the best adjusted score, ties to the smaller cand_idx. The score is 0.7 times the scaled base and 0.3 times
+    1 - (rank - 1) / (n - 1), 0 for what the order doesn't list. Each of the k steps is one aggregate over all pools, which
+    is combined before the shuffle, so that no pool is gathered in a task; what is carried on is k places a question. All
+    candidates of one page, layout, modality and type are adjusted alike, so that the k best of each kind suffice.
+    """
+    needed = cut_lineage(needs_coverage(pool, order, k))
+    plain = order.where(F.col("rank") <= k).join(needed, "q_id", "left_anti").select("q_id", "cand_idx", "rank")
+    wants = F.arrays_overlap("expected", F.array(*map(F.lit, VISUAL))).alias("wants_visual")
+    kind = ["page_id", "layout_id", "modality", "raw_type"]
+    todo = pool.select("q_id", "cand_idx", *kind, wants, F.col(base).alias("_base")).join(needed, "q_id", "left_semi")
+    n = todo.groupBy("q_id").agg(F.count("*").alias("_n"))
+    todo = minmax(todo.join(n, "q_id"), ["_base"]).join(order.select("q_id", "cand_idx", F.col("rank").alias("_rank")), ["q_id", "cand_idx"], "left")
+    listed = F.when(F.col("_n") <= 1, 1.0).otherwise(1 - F.try_divide((F.col("_rank") - 1).cast("double"), F.col("_n") - 1))
+    score = F.round(0.7 * F.col("_base_norm") + 0.3 * F.when(F.col("_rank").isNull(), 0.0).otherwise(listed), PLACES)
+    alike = Window.partitionBy("q_id", *kind).orderBy(F.desc("score"), F.asc("cand_idx"))
+    todo = todo.withColumn("score", score).withColumn("_k", F.row_number().over(alike)).where(F.col("_k") <= k)
+    todo = cut_lineage(todo.select("q_id", "cand_idx", *kind, "wants_visual", "score"))
+    place = "struct<cand_idx:bigint,page_id:bigint,layout_id:bigint,modality:string,raw_type:string>"
+    chosen = needed.withColumn("chosen", F.array().cast(f"array<{place}>"))
+    alike_count = lambda c: F.size(F.filter("chosen", lambda x: x[c] == F.col(c)))
+    has = lambda m: F.exists("chosen", lambda x: x["modality"] == m)
+    for _ in range(k):
+        met = todo.join(broadcast_if_small(chosen), "q_id").where(~F.exists("chosen", lambda x: x["cand_idx"] == F.col("cand_idx")))
+        adjusted = (
+            F.col("score") - page * F.coalesce(F.exists("chosen", lambda x: x["page_id"] == F.col("page_id")), F.lit(False)).cast("double")
+            - layout * F.coalesce(F.exists("chosen", lambda x: x["layout_id"] == F.col("layout_id")), F.lit(False)).cast("double")
+            - modality * F.greatest(alike_count("modality") - 1, F.lit(0)) - raw_type * alike_count("raw_type")
+            + missing * ((F.col("modality") == "text") & ~has("text")).cast("double")
+            + missing * ((F.col("modality") == "image") & F.col("wants_visual") & ~has("image")).cast("double")
+        )
+        best = F.max_by(F.struct("cand_idx", *kind), F.struct(F.round(adjusted, 9), -F.col("cand_idx")))
+        step = met.groupBy("q_id").agg(best.alias("next"))
+        grown = F.when(F.col("next").isNull(), F.col("chosen")).otherwise(F.concat("chosen", F.array(F.col("next").cast(place))))
+        chosen = cut_lineage(chosen.join(step, "q_id", "left").select("q_id", grown.alias("chosen")))
+    spread = chosen.select("q_id", F.posexplode("chosen").alias("n", "x")).select("q_id", F.col("x.cand_idx").alias("cand_idx"), (F.col("n") + 1).cast("bigint").alias("rank"))
     return plain.unionByName(spread)

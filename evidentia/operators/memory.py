@@ -104,16 +104,3 @@ def memory_scores(pool: DataFrame, reference: DataFrame, leave_one_out: bool = F
     out = pool.select("q_id", "cand_idx").join(both, ["q_id", "cand_idx"], "left")
     return out.select("q_id", "cand_idx", F.coalesce("memory", zero).alias("memory"), F.coalesce("precise", zero).alias("precise"))
 
-
-def forced_first(df: DataFrame, base_rank: str, precise: str, n: int) -> DataFrame:
-    """Adds ``forced_rank``: up to n candidates with a precise score lead, best first, the others follow in base order."""
-    from pyspark.sql.window import Window
-
-    from evidentia.operators.ranking import PLACES
-
-    order = [F.desc(F.round(precise, PLACES)), F.asc(base_rank)]
-    # The leaders are among the first n of their pool by precise score.
-    first = df.where(F.round(precise, PLACES) > 0).withColumn("_f", F.row_number().over(Window.partitionBy("q_id").orderBy(*order)))
-    first = first.where(F.col("_f") <= n).select("q_id", "cand_idx", "_f")
-    out = df.join(first, ["q_id", "cand_idx"], "left")
-    return out.withColumn("_lead", F.coalesce(F.col("_f").cast("bigint"), F.lit(n) + F.col(base_rank))).drop("_f")

@@ -39,25 +39,28 @@ def scored(pool: DataFrame, vectors: DataFrame, reference: DataFrame | None = No
     parts = [bm25(pool, "question", "doc_text"), dense(pool, vectors)]
     if reference is not None:
         parts.append(M.memory_scores(pool, reference, leave_one_out))
-        near = N.best_neighbors(N.question_pairs(questions, reference_questions), "similarity", topn)
+        near = N.similar_questions(questions, reference_questions, topn)
         parts.append(N.similar_gold_scores(pool, near, reference))
     out = pool.withColumn("type_score", type_score())
     return reduce(lambda a, b: a.join(b, keys), parts, out)
 
 
 def features(pool: DataFrame, vectors: DataFrame, reference: DataFrame, questions: DataFrame, reference_questions: DataFrame,
-             leave_one_out: bool = False, weights: dict[str, float] | None = None, topn: int = 3) -> DataFrame:
+             leave_one_out: bool = False, weights: dict[str, float] | None = None, topn: int = 3,
+             boost: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
     """(q_id, cand_idx, is_gold, the features, overlap_confidence, semantic, overlap). With ``leave_one_out`` a question's
     own evidence is subtracted from memory and it isn't its own neighbour."""
     w = {**WEIGHTS, **(weights or {})}
     keys = ["q_id", "cand_idx"]
-    rows = cut_lineage(scored(pool, vectors, reference, questions, reference_questions, leave_one_out, topn))
+    rows = scored(pool, vectors, reference, questions, reference_questions, leave_one_out, topn)
+    # Of the texts only their length goes on.
+    rows = cut_lineage(rows.withColumn("n_tokens", F.size(X.tokens("content")).cast("double")).drop("content"))
     rows = minmax(rows, ["bm25", "dense", "memory", "precise", "similar"])
     named = {("type_score" if k == "type_score" else f"{k}_norm"): v for k, v in w.items()}
-    rows = context_boost(rows.withColumn("base", linear(named)), "base")
+    rows = context_boost(rows.withColumn("base", linear(named)), "base", *boost)
     rows = rows.withColumn("context", 0.5 * F.col("bm25_norm") + 0.5 * F.col("dense_norm"))
     rows = group_best(group_best(rows, "context", "page_id", "page_context"), "context", "layout_id", "layout_context")
-    near = N.question_neighbors(questions, reference_questions, topn)
+    near = cut_lineage(N.question_neighbors(questions, reference_questions, topn))
     votes = N.neighbor_votes(pool, near, reference)
     rows = rows.join(votes, keys)
     rows = minmax(rows, ["base", "page_context", "layout_context", *(f"{v}_votes" for v in N.VOTES)])
@@ -72,7 +75,6 @@ def features(pool: DataFrame, vectors: DataFrame, reference: DataFrame, question
         "has_page": F.col("page_id").isNotNull(), "has_layout": F.col("layout_id").isNotNull(),
     }
     rows = rows.withColumns({k: F.coalesce(v, F.lit(False)).cast("double") for k, v in flags.items()})
-    rows = rows.withColumn("n_tokens", F.size(X.tokens("content")).cast("double"))
     best = rows.groupBy("q_id").agg(*(F.max(f"{c}_norm").alias(f"_{c}") for c in ("precise", "exact_votes", "page_type_votes")))
     rows = rows.join(best, "q_id").withColumn("overlap_confidence", F.greatest("neighbor_best", "_precise", "_exact_votes", "_page_type_votes"))
     rows = rows.withColumn("semantic", linear({n: v for n, v in named.items() if n in ("bm25_norm", "dense_norm", "type_score")}))
@@ -80,19 +82,28 @@ def features(pool: DataFrame, vectors: DataFrame, reference: DataFrame, question
                "page_type_votes_norm": 0.2, "layout_votes_norm": 0.1, "page_context_norm": 0.1}
     rows = rows.withColumn("overlap", linear(overlap))
     rows = rank_percentile(rank_percentile(rows, "bm25", "bm25_pct"), "dense", "dense_pct")
-    kept = ["question_type", "expected", "doc_name", "modality", "raw_type", "page_id", "layout_id", "quote_id", "question", "doc_text"]
+    kept = ["question_type", "expected", "doc_name", "split", "domain", "modality", "raw_type", "page_id", "layout_id", "quote_id", "question", "doc_text"]
     return rows.select(*keys, "is_gold", *kept, "base", *FEATURES, "overlap_confidence", "semantic", "overlap")
 
 
-def fit(training: DataFrame, positive_weight: float = 4.0, iterations: int = 20, seed: int = 42):
-    """Gradient-boosted trees over the features; gold rows weigh ``positive_weight``. The rows stay distributed."""
+def fit(training: DataFrame, positive_weight: float = 4.0, iterations: int = 220, seed: int = 42, step: float = 0.05, depth: int = 6,
+        leaf: int = 20, domain_balance: str = "none"):
+    """Gradient-boosted trees over the features; a row weighs ``positive_weight`` if gold, times its domain's weight
+    (``mining.domain_weights``). The rows stay distributed."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    weight = F.when(F.col("is_gold"), positive_weight).otherwise(1.0)
-    rows = training.withColumns({"label": F.col("is_gold").cast("double"), "weight": weight})
-    trees = GBTClassifier(maxIter=iterations, stepSize=0.05, maxDepth=6, maxBins=255, minInstancesPerNode=20, weightCol="weight", seed=seed)
+    from evidentia.operators.mining import domain_weights
+
+    training = training.withColumn("domain", F.when(F.col("domain") != "", F.col("domain")).otherwise("unknown"))
+    each = domain_weights(training.select("q_id", "domain").distinct().select("domain"), domain_balance)
+    rows = training.join(F.broadcast(each.select("domain", F.col("weight").alias("_domain_weight"))), "domain")
+    weight = F.when(F.col("is_gold"), positive_weight).otherwise(1.0) * F.col("_domain_weight")
+    rows = cut_lineage(rows.select(*FEATURES, F.col("is_gold").cast("double").alias("label"), weight.alias("weight")))
+    trees = GBTClassifier(
+        maxIter=iterations, stepSize=step, maxDepth=depth, maxBins=255, minInstancesPerNode=leaf, weightCol="weight", seed=seed, checkpointInterval=-1
+    )
     return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), trees]).fit(rows)
 
 

@@ -43,25 +43,38 @@ def top_k(df: DataFrame, score: str, k: int = 5, group: tuple[str, ...] = ("q_id
     return df.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def ranges(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+    """``df`` laid out in ranges of group and order, written once, with the column ``_range``."""
+    return cut_lineage(df.repartitionByRange(*(F.col(g) for g in group), *order).withColumn("_range", F.spark_partition_id()))
+
+
+def running(df: DataFrame, group: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
+    """Adds the running sum of ``value`` over the group in the order, without gathering a group: sums within ranges, shifted
+    by the sums of the group's ranges before. ``order`` must be total within a group."""
+    laid = ranges(df.withColumn("_value", value), group, order)
+    sums = laid.groupBy(*group, "_range").agg(F.sum("_value").alias("_sum"))
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    sums = sums.select(*group, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    inside = F.sum("_value").over(Window.partitionBy(*group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    out = laid.withColumn("_inside", inside).join(sums, [*group, "_range"])
+    return out.withColumn(name, F.col("_inside") + F.col("_before")).drop("_range", "_inside", "_before", "_value")
+
+
 def ranked(df: DataFrame, group: list[str], order: list[Column], name: str = "rank") -> DataFrame:
-    """Adds the rank of every row in its group without gathering a group: rows are ranged by group and order, ranked
-    within each range, and shifted by the sizes of the group's ranges before.
+    """Adds the rank of every row in its group without gathering a group. ``df`` should be slim, as its rows are moved."""
+    out = running(df, group, order, F.lit(1).cast("bigint"), name)
+    return out.withColumn(name, F.col(name).cast("bigint"))
+
 
-    ``order`` must be total within a group.
-    """
-    ranges = cut_lineage(df.repartitionByRange(*(F.col(g) for g in group), *order).withColumn("_range", F.spark_partition_id()))
-    sizes = ranges.groupBy(*group, "_range").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(*group, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(*group, "_range").orderBy(*order))
-    out = ranges.withColumn("_inside", inside).join(sizes, [*group, "_range"])
-    return out.withColumn(name, (F.col("_inside") + F.col("_before")).cast("bigint")).drop("_range", "_inside", "_before")
+def ranks(df: DataFrame, score: str, name: str) -> DataFrame:
+    """(q_id, cand_idx, <name>): the rank of every candidate in its pool by score."""
+    return ranked(df.select("q_id", "cand_idx", score), ["q_id"], by_score(score), name).drop(score)
 
 
 def rank_percentile(df: DataFrame, score: str, name: str) -> DataFrame:
     """Adds 1 - (rank - 1) / (n - 1); 1 in a pool of one."""
     n = df.groupBy("q_id").agg(F.count("*").alias("_n"))
-    out = ranked(df, ["q_id"], by_score(score), "_rank").join(n, "q_id")
+    out = df.join(ranks(df, score, "_rank"), ["q_id", "cand_idx"]).join(n, "q_id")
     share = F.when(F.col("_n") <= 1, 1.0).otherwise(1 - F.try_divide((F.col("_rank") - 1).cast("double"), F.col("_n") - 1))
     return out.withColumn(name, share).drop("_rank", "_n")
 

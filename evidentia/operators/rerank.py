@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from evidentia.functions import text as X
 from evidentia.operators.ranking import PLACES, minmax
@@ -45,8 +46,6 @@ def rerank(df: DataFrame, base: str, scorer: Scorer, top: int = 10, weight: floa
     ``df`` has q_id, cand_idx, question, doc_text, ``base`` and base_rank. Only the first ``top`` reach the scorer; ties
     keep the base order, and the others follow in it.
     """
-    from pyspark.sql.window import Window
-
     head = df.where(F.col("base_rank") <= top).select("q_id", "cand_idx", base, "base_rank", scorer(F.col("question"), F.col("doc_text")).alias("_score"))
     head = minmax(head, [base, "_score"])
     fused = F.round((1 - weight) * F.col(f"{base}_norm") + weight * F.col("_score_norm"), PLACES)
@@ -56,6 +55,8 @@ def rerank(df: DataFrame, base: str, scorer: Scorer, top: int = 10, weight: floa
     return out.withColumn("rerank_order", F.coalesce("_head", "base_rank")).drop("_head")
 
 
+#: What a causal reranker is told, unless its model brings its own. Fixed value.
+INSTRUCTION = "Given a question, judge whether the document is evidence that helps to answer it."
 SYSTEM = (
     "You are a retrieval assistant. Select the 5 most relevant evidence quote_ids for the question. Output only a JSON array of "
     "quote_ids ordered from most relevant to least relevant."

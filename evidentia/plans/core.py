@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from evidentia.functions import text as X
 from evidentia.operators import analysis as A
@@ -20,19 +21,23 @@ from evidentia.operators import neighbors as N
 from evidentia.operators import ranker as R
 from evidentia.operators import ranking as K
 from evidentia.operators import rerank as RR
+from evidentia.operators import retrieval as RT
 from evidentia.operators import splits as S
-from evidentia.operators.dense import dense, scorer
-from evidentia.operators.lexical import bm25
-from evidentia.plans.methods import ABLATED, METHODS
-from evidentia.session import cut_lineage, table
+from evidentia.operators.dense import dense, encoded, scorer
+from evidentia.operators.retrieval import Data, Settings, lexical
+from evidentia.operators.retrieval import with_text as texts
+from evidentia.session import cut_lineage, fresh_path, table
 from evidentia.sources import records
-from evidentia.sources.tables import DEV, REFERENCE, candidates, latest, pools, samples
+from evidentia.sources.tables import DEV, REFERENCE, TEST, candidates, latest, pools, samples
 
 KEYS = ["q_id", "cand_idx"]
 HYBRID = {"bm25_norm": 0.35, "dense_norm": 0.65}
-TYPED = {**HYBRID, "type_score_norm": 0.35}
-MEMORY = {**HYBRID, "memory_norm": 0.55}
-GRID = [(b, m) for b in (0.2, 0.35, 0.5) for m in (0.0, 0.3, 0.55)]
+#: Weights of the sweep, in the order of their grid. Fixed values.
+SWEEP = {
+    "bm25": (0.25, 0.35, 0.45), "dense": (0.55, 0.65, 0.75), "memory": (0.25, 0.4, 0.55, 0.7, 0.9), "type_score": (0.0, 0.05, 0.1, 0.15, 0.25),
+}
+FUSION = (0.35, 0.45, 0.55, 0.65, 0.8, 1.0)
+IS_REFERENCE = f"split = '{REFERENCE}'"
 _registry: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -45,24 +50,11 @@ def r6(name: str, *columns: str) -> list[F.Column]:
     return [F.round(c, 6).alias(c) for c in (name, *columns)]
 
 
-def texts(pool: DataFrame) -> DataFrame:
-    return pool.withColumn("doc_text", X.document_text("raw_type", "content"))
-
-
-def lexical(pool: DataFrame) -> DataFrame:
-    return bm25(texts(pool), "question", "doc_text")
-
-
-def fused(spark: SparkSession, d: str, split: str | None, memory: bool = False) -> DataFrame:
-    """Pool with scaled bm25, dense, type and, against the reference split, memory and precise scores."""
-    pool = texts(pools(spark, d, split))
-    parts = [lexical(pool), dense(pool, table(spark, d, "embeddings"))]
-    columns = ["bm25", "dense", "type_score"]
-    if memory:
-        parts.append(M.memory_scores(pool, pools(spark, d, REFERENCE)))
-        columns += ["memory", "precise"]
-    rows = reduce(lambda a, b: a.join(b, KEYS), parts, pool.withColumn("type_score", R.type_score()))
-    return K.minmax(rows, columns)
+def data(spark: SparkSession, d: str, split: str | None = None) -> Data:
+    """The pools of a split, or all, against those of the reference split; cleaned once."""
+    s, pool = cut_lineage(samples(spark, d)), cut_lineage(pools(spark, d))
+    of = lambda x: x.where(F.col("split") == split) if split else x
+    return Data(of(pool), pool.where(IS_REFERENCE), of(s), s.where(IS_REFERENCE), table(spark, d, "embeddings"))
 
 
 def answered(spark: SparkSession, d: str, ranked: DataFrame, split: str | None = None) -> DataFrame:
@@ -150,12 +142,18 @@ def context_boost(spark, d):
 
 @query
 def hybrid_top5(spark, d):
-    return top(fused(spark, d, None).withColumn("score", U.linear(HYBRID)), "score")
+    return RT.hybrid(data(spark, d), Settings(), RR.cosine_scorer)
 
 
 @query
 def typed_hybrid_top5(spark, d):
-    return top(fused(spark, d, None).withColumn("score", U.linear(TYPED)), "score")
+    return RT.hybrid(data(spark, d), Settings(), RR.cosine_scorer, typed=True)
+
+
+@query
+def boosted_hybrid_top5(spark, d):
+    """The typed hybrid with the context's boost, reranked."""
+    return RT.hybrid(data(spark, d), Settings(page_weight=0.1, layout_weight=0.05, use_reranker=True), RR.cosine_scorer, typed=True)
 
 
 @query
@@ -171,7 +169,8 @@ def memory_precision_loo(spark, d):
 
 @query
 def memory_scores(spark, d):
-    return M.memory_scores(pools(spark, d, DEV), pools(spark, d, REFERENCE)).select(*KEYS, *r6("memory", "precise"))
+    """All pools; those of the reference without their question's own evidence."""
+    return M.memory_scores(pools(spark, d), pools(spark, d, REFERENCE), leave_one_out=True).select(*KEYS, *r6("memory", "precise"))
 
 
 @query
@@ -182,23 +181,25 @@ def memory_scores_loo(spark, d):
 
 @query
 def memory_top5(spark, d):
-    pool = pools(spark, d, DEV)
-    rows = lexical(pool).join(M.memory_scores(pool, pools(spark, d, REFERENCE)), KEYS).join(pool.select(*KEYS, "quote_id"), KEYS)
-    rows = K.minmax(rows, ["bm25", "memory"])
-    return top(rows.withColumn("score", U.linear({"bm25_norm": 0.45, "memory_norm": 0.55})), "score")
+    return RT.memory(data(spark, d), Settings())
 
 
 @query
 def memory_hybrid_top5(spark, d):
-    return top(fused(spark, d, DEV, memory=True).withColumn("score", U.linear(MEMORY)), "score")
+    return RT.memory_hybrid(data(spark, d), Settings(), RR.cosine_scorer)
+
+
+@query
+def typed_memory_hybrid_top5(spark, d):
+    """With similar questions, the type score, the context's boost and a reranker."""
+    settings = Settings(similar_weight=0.15, page_weight=0.1, layout_weight=0.05, use_reranker=True)
+    return RT.memory_hybrid(data(spark, d), settings, RR.cosine_scorer, typed=True)
 
 
 @query
 def force_memory(spark, d):
-    rows = fused(spark, d, DEV, memory=True).withColumn("score", U.linear(HYBRID))
-    rows = M.forced_first(K.ranked(rows, ["q_id"], K.by_score("score"), "base_rank"), "base_rank", "precise", 2)
-    rank = F.row_number().over(Window.partitionBy("q_id").orderBy("_lead", "base_rank")).cast("bigint")
-    return rows.withColumn("rank", rank).where("rank <= 5").select("q_id", "rank", "quote_id")
+    """The memory hybrid with up to two candidates of precise memory in front."""
+    return RT.memory_hybrid(data(spark, d), Settings(force_memory_top=2), RR.cosine_scorer)
 
 
 def asked(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -215,7 +216,7 @@ def question_similarity(spark, d):
 @query
 def similar_memory(spark, d):
     q, ref = asked(spark, d)
-    near = N.best_neighbors(N.question_pairs(q, ref), "similarity", 3)
+    near = N.similar_questions(q, ref, 3)
     pool = pools(spark, d).join(q.select("q_id"), "q_id", "left_semi")
     return N.similar_gold_scores(pool, near, pools(spark, d, REFERENCE)).select(*KEYS, *r6("similar"))
 
@@ -295,35 +296,40 @@ def consensus_insert(spark, d):
     return U.consensus_insert(a, [a, b, b]).select("q_id", F.array_join("answer", " ").alias("answer"))
 
 
-def based(spark, d) -> DataFrame:
-    """Development pools ranked by the hybrid score; only the first ten go on to a reranker."""
-    rows = fused(spark, d, DEV).withColumn("score", U.linear(HYBRID))
-    rows = K.top_k(rows, "score", 10).withColumnRenamed("rank", "base_rank")
-    return cut_lineage(rows.select(*KEYS, "quote_id", "question", "doc_text", "score", "base_rank"))
+@query
+def rerank_stub(spark, d):
+    return RT.hybrid(data(spark, d), Settings(use_reranker=True), RR.cosine_scorer)
 
 
 @query
-def rerank_stub(spark, d):
-    rows = RR.rerank(based(spark, d), "score", RR.cosine_scorer)
-    return rows.where("rerank_order <= 5").select("q_id", F.col("rerank_order").alias("rank"), "quote_id")
+def reranker_only(spark, d):
+    return RT.reranker_only(data(spark, d), Settings(), RR.cosine_scorer)
 
 
 @query
 def dual_rerank_stub(spark, d):
-    base = based(spark, d)
-    lists = [(RR.rerank(base, "score", s, weight=0.7).select(*KEYS, F.col("rerank_order").alias("rank")), w) for s, w in ((RR.cosine_scorer, 1.15), (RR.jaccard_scorer, 1.0))]
-    lists.append((base.select(*KEYS, F.col("base_rank").alias("rank")), 0.45))
-    out = U.reciprocal_rank_fusion(lists).where("rank <= 5")
-    return out.join(base.select(*KEYS, "quote_id"), KEYS).select("q_id", "rank", "quote_id")
+    return RT.dual_reranker(data(spark, d), Settings(similar_weight=0.15), RR.cosine_scorer, RR.jaccard_scorer)
+
+
+def stub_selector(x: Data) -> DataFrame:
+    """(q_id, output): what a language model might say, the three candidates that share most tokens with the question: as a
+    JSON list, or mentioned in a sentence for odd questions."""
+    rows = x.pool.select(*KEYS, "quote_id", RR.jaccard_scorer(F.col("question"), F.col("content")).alias("score"))
+    ids = U.answers(K.top_k(rows, "score", 3))
+    odd = F.col("q_id").try_cast("bigint") % 2 == 1
+    return ids.select("q_id", F.when(odd, F.concat(F.lit("I choose "), F.array_join("answer", " and "), F.lit("."))).otherwise(F.to_json("answer")).alias("output"))
+
+
+@query
+def llm_top5(spark, d):
+    """A selector's answer, filled up by BM25."""
+    x = data(spark, d)
+    return RT.llm(x, Settings(), stub_selector(x))
 
 
 @query
 def image_top5(spark, d):
-    """Text candidates by BM25 among text, images by vectors, each scaled within its modality."""
-    pool = texts(pools(spark, d))
-    text = K.minmax(lexical(pool.where("modality = 'text'")), ["bm25"]).select(*KEYS, F.col("bm25_norm").alias("score"))
-    image = K.minmax(dense(pool.where("modality = 'image'"), table(spark, d, "embeddings")), ["dense"]).select(*KEYS, F.col("dense_norm").alias("score"))
-    return top(text.unionByName(image).join(pool.select(*KEYS, "quote_id"), KEYS), "score")
+    return RT.image(data(spark, d), Settings())
 
 
 @query
@@ -340,51 +346,29 @@ def llm_parse(spark, d):
     return rows.select(*KEYS, F.array_join(X.parse_quote_ids(listed, "gold"), " ").alias("ids"))
 
 
-def ranker_rows(spark, d, split: str, leave_one_out: bool) -> DataFrame:
-    s = cut_lineage(samples(spark, d))
-    pool, reference = texts(pools(spark, d, split)), pools(spark, d, REFERENCE)
-    return R.features(pool, table(spark, d, "embeddings"), reference, s.where(F.col("split") == split), s.where(F.col("split") == REFERENCE), leave_one_out)
-
-
 @query
 def ranker_features(spark, d):
-    rows = ranker_rows(spark, d, DEV, False)
+    rows = RT.ranker_rows(data(spark, d))
     return rows.select(*KEYS, "is_gold", *r6(*R.FEATURES, "overlap_confidence", "semantic", "overlap"))
 
 
-def predicted(spark, d) -> DataFrame:
-    training = cut_lineage(ranker_rows(spark, d, REFERENCE, True))
-    model = R.fit(training, iterations=10)
-    return cut_lineage(R.predict(model, ranker_rows(spark, d, DEV, False)))
-
-
 @query
 def doc_aware_top5(spark, d):
-    return top(predicted(spark, d), "final")
+    settings = Settings()
+    return RT.doc_aware_ranker(RT.ranked_by_model(data(spark, d), settings, F.expr(IS_REFERENCE), settings), settings, RR.cosine_scorer)
 
 
 @query
 def routed_top5(spark, d):
-    """Documents known well, with strong overlap, take from overlap, semantic and final lists by quota 2/2/1, others known 3/1/1."""
-    rows = predicted(spark, d)
-    counts = samples(spark, d).where(F.col("split") == REFERENCE).groupBy("doc_name").agg(F.count("*").alias("doc_count"))
-    q = rows.select("q_id", "doc_name", "overlap_confidence").distinct().join(counts, "doc_name", "left")
-    known, sure = F.coalesce("doc_count", F.lit(0)), F.col("overlap_confidence")
-    route = F.when((known >= 10) & (sure >= 0.4), "high").when((known >= 3) & (sure >= 0.2), "low").otherwise("plain")
-    rows = rows.join(q.select("q_id", route.alias("route")), "q_id")
-    lists = {c: K.top_k(rows, c, 15).select(*KEYS, "rank", "route") for c in ("overlap", "semantic", "final")}
-    out = lists["final"].where("route = 'plain' and rank <= 5").select(*KEYS, "rank")
-    for name, quotas in (("high", (2, 2, 1)), ("low", (3, 1, 1))):
-        own = [x.where(F.col("route") == name) for x in lists.values()]
-        out = out.unionByName(U.quota_union(list(zip(own, quotas, strict=True)), own[2]))
-    return out.join(rows.select(*KEYS, "quote_id"), KEYS).select("q_id", "rank", "quote_id")
+    x = data(spark, d)
+    return RT.methods(x, Settings(), F.expr(IS_REFERENCE))["routed_doc_aware"]()
 
 
 @query
 def coverage_top5(spark, d):
-    rows = fused(spark, d, None).withColumn("score", U.linear(HYBRID))
-    rows = cut_lineage(K.minmax(K.ranked(rows, ["q_id"], K.by_score("score"), "base_rank"), ["score"]).drop("content", "doc_text", "question"))
-    return U.coverage_select(rows, "score_norm", "base_rank").join(rows.select(*KEYS, "quote_id"), KEYS).select("q_id", "rank", "quote_id")
+    rows = cut_lineage(RT.fused(data(spark, d), Settings(), False, False))
+    out = U.coverage_select(rows, "score", K.ranks(rows, "score", "rank"))
+    return out.join(rows.select(*KEYS, "quote_id"), KEYS).select("q_id", "rank", "quote_id")
 
 
 @query
@@ -407,29 +391,61 @@ def split_mixed(spark, d):
     return S.split_mixed(samples(spark, d))
 
 
+@query
+def split_shard(spark, d):
+    """A shard of the development questions of the split by document, in that split's order."""
+    s = samples(spark, d)
+    return S.shard(S.dev_positions(s, S.split_by_document(s), "doc").withColumn("split_pos", F.col("split_pos") + 1), "split_pos", 3, 1)
+
+
+@query
+def eval_splits(spark, d):
+    """Recall of memory under each way to hold questions of the delivered reference out of it."""
+    s = cut_lineage(samples(spark, d).where(IS_REFERENCE))
+    pool, parts = pools(spark, d, REFERENCE), []
+    for strategy in ("doc", "row", "mixed", "domain"):
+        part = cut_lineage(S.eval_split(s, strategy, domain="Academic paper"))
+        dev, train = (part.where(F.col("part") == x).select("q_id") for x in ("dev", "train"))
+        held = s.join(dev, "q_id", "left_semi")
+        x = Data(pool.join(dev, "q_id", "left_semi"), pool.join(train, "q_id", "left_semi"), held, s.join(train, "q_id", "left_semi"), table(spark, d, "embeddings"))
+        rows = E.with_recall(held, U.answers(RT.memory(x, Settings())))
+        docs = held.agg(F.countDistinct("doc_name").alias("num_dev_docs"))
+        parts.append(E.evaluate(rows).crossJoin(docs).withColumn("strategy", F.lit(strategy)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def shard(spark, d):
     s = S.positions(samples(spark, d).select("q_id", "sample_pos"), [F.asc("sample_pos")], "place")
     return S.shard(s, "place", 4, 1).select("q_id", "place")
 
 
+def families(spark, d, split: str, rows: DataFrame, which: tuple[str, ...] = A.FAMILIES) -> DataFrame:
+    """Questions of a split, long by family of buckets."""
+    s = cut_lineage(samples(spark, d))
+    reference = s.where(IS_REFERENCE)
+    near = N.question_neighbors(s.where(F.col("split") == split), reference)
+    return A.long_buckets(A.bucketed(rows, candidates(spark, d), reference, near), which)
+
+
 @query
 def recall_by_bucket(spark, d):
-    rows = A.bucketed(answered(spark, d, bm25_top5(spark, d), DEV), candidates(spark, d), samples(spark, d).where(F.col("split") == REFERENCE))
-    return E.evaluate(A.long_buckets(rows), "family", "bucket")
+    return E.evaluate(families(spark, d, DEV, answered(spark, d, bm25_top5(spark, d), DEV)), "family", "bucket")
 
 
 @query
 def bucket_proportions(spark, d):
-    return E.proportions(A.long_domains(samples(spark, d)), "bucket")
+    """Shares of the development split's buckets of every family."""
+    s = samples(spark, d).where(F.col("split") == DEV)
+    return E.family_proportions(families(spark, d, DEV, s))
 
 
 @query
 def weighted_proxy(spark, d):
-    s = A.with_domain_bucket(samples(spark, d))
-    dev = answered(spark, d, bm25_top5(spark, d), DEV)
-    by = E.evaluate(A.with_domain_bucket(dev), "bucket")
-    return E.weighted_recall(by, E.proportions(s.where("split = 'test'"), "bucket"), "bucket")
+    """Recall on the development split re-weighted by the test split's shares, for the families known of it."""
+    by = E.evaluate(families(spark, d, DEV, answered(spark, d, bm25_top5(spark, d), DEV), A.OPEN_FAMILIES), "family", "bucket")
+    shares = E.family_proportions(families(spark, d, TEST, samples(spark, d).where(F.col("split") == TEST), A.OPEN_FAMILIES))
+    return E.weighted_recall(by, shares)
 
 
 @query
@@ -438,6 +454,17 @@ def modality_preference(spark, d):
     return A.preference(top(lexical(pools(spark, d)).join(c, KEYS), "bm25"), c, samples(spark, d))
 
 
+@query
+def answer_kinds(spark, d):
+    c = candidates(spark, d).select(*KEYS, "quote_id", "modality", "raw_type")
+    return A.kinds(top(lexical(pools(spark, d)).join(c, KEYS), "bm25"), c)
+
+
+@query
+def gold_lengths(spark, d):
+    return A.gold_lengths(samples(spark, d))
+
+
 @query
 def dataset_stats(spark, d):
     return A.stats(samples(spark, d), candidates(spark, d))
@@ -469,39 +496,69 @@ def document_counts(spark, d):
 
 @query
 def weight_sweep(spark, d):
-    """Recall of every pair of weights; all combinations share one scaling, and each keeps five rows a question."""
-    rows = fused(spark, d, DEV, memory=True).select(*KEYS, "quote_id", "bm25_norm", "dense_norm", "memory_norm")
-    grid = spark.createDataFrame([(i, b, m) for i, (b, m) in enumerate(GRID)], "grid_pos int, bm25_weight double, memory_weight double")
-    score = F.col("bm25_weight") * F.col("bm25_norm") + 0.65 * F.col("dense_norm") + F.col("memory_weight") * F.col("memory_norm")
-    each = K.top_k(rows.crossJoin(F.broadcast(grid)).withColumn("score", score), "score", 5, ("grid_pos", "q_id"))
+    """The twenty best of all combinations of the weights by recall on the development split, rounded, ties in the order of
+    the grid. All combinations share one scaling, and each keeps five rows a question."""
+    names = list(SWEEP)
+    rows = cut_lineage(RT.scored(data(spark, d, DEV), tuple(names)).select(*KEYS, "quote_id", *(f"{c}_norm" for c in names)))
+    grid = spark.createDataFrame([(i, *w) for i, w in enumerate(itertools.product(*SWEEP.values()))], ", ".join(["grid_pos int", *(f"{c}_weight double" for c in names)]))
+    score = reduce(lambda a, b: a + b, (F.col(f"{c}_weight") * F.col(f"{c}_norm") for c in names))
+    each = K.top_k(rows.crossJoin(F.broadcast(grid.select("grid_pos", *(f"{c}_weight" for c in names)))).withColumn("score", score), "score", 5, ("grid_pos", "q_id"))
     each = each.join(samples(spark, d).select("q_id", "gold"), "q_id")
-    of = each.groupBy("grid_pos", "bm25_weight", "memory_weight", "q_id").agg(F.collect_list("quote_id").alias("answer"), F.any_value("gold").alias("gold"))
-    of = of.withColumn("recall", E.recall("answer", "gold"))
-    return of.groupBy("grid_pos", "bm25_weight", "memory_weight").agg(F.round(F.coalesce(F.avg("recall"), F.lit(0.0)), 6).alias("recall"))
+    of = each.groupBy("grid_pos", "q_id").agg(F.collect_list("quote_id").alias("answer"), F.any_value("gold").alias("gold"))
+    of = of.withColumn("recall", E.recall("answer", "gold")).groupBy("grid_pos").agg(F.round(F.coalesce(F.avg("recall"), F.lit(0.0)), 6).alias("recall"))
+    return grid.join(of, "grid_pos").orderBy(F.desc("recall"), F.asc("grid_pos")).limit(20)
 
 
-@query
-def fusion_grid(spark, d):
-    """Recall per weight of a reranker's score against the base score; the report's best weight is a fold over these rows."""
-    rows = fused(spark, d, DEV).withColumn("rerank", RR.cosine_scorer(F.col("question"), F.col("doc_text")))
+def fusion_recalls(spark, d) -> DataFrame:
+    """(w, recall), not rounded, per weight of a reranker's score against the base score on the development split."""
+    rows = RT.scored(data(spark, d, DEV), ("bm25", "dense")).withColumn("rerank", RR.cosine_scorer(F.col("question"), F.col("doc_text")))
     rows = K.minmax(rows.withColumn("base", U.linear(HYBRID)), ["base", "rerank"]).select(*KEYS, "quote_id", "base_norm", "rerank_norm")
-    grid = spark.createDataFrame([(0.35,), (0.45,), (0.55,), (0.65,), (0.8,), (1.0,)], "w double")
+    grid = spark.createDataFrame([(w,) for w in FUSION], "w double")
     each = rows.crossJoin(F.broadcast(grid)).withColumn("score", (1 - F.col("w")) * F.col("base_norm") + F.col("w") * F.col("rerank_norm"))
     each = K.top_k(each, "score", 5, ("w", "q_id")).join(samples(spark, d).select("q_id", "gold"), "q_id")
     of = each.groupBy("w", "q_id").agg(F.collect_list("quote_id").alias("answer"), F.any_value("gold").alias("gold"))
-    return of.withColumn("recall", E.recall("answer", "gold")).groupBy("w").agg(F.round(F.coalesce(F.avg("recall"), F.lit(0.0)), 6).alias("recall"))
+    return of.withColumn("recall", E.recall("answer", "gold")).groupBy("w").agg(F.coalesce(F.avg("recall"), F.lit(0.0)).alias("recall"))
 
 
 @query
-def ablation(spark, d):
-    """Recall of each method on the development questions."""
-    parts = []
-    for name in ABLATED:
-        ranked = _registry[METHODS[name]](spark, d)
-        parts.append(E.evaluate(answered(spark, d, ranked, DEV)).withColumn("method", F.lit(name)))
+def fusion_grid(spark, d):
+    return fusion_recalls(spark, d).select("w", *r6("recall"))
+
+
+@query
+def best_fusion_weight(spark, d):
+    """What a fold over the grid in its order ends with."""
+    return E.best_weight(fusion_recalls(spark, d).withColumn("place", F.col("w")), "place", "w", "recall")
+
+
+def compared(spark, d, names: tuple[str, ...]) -> DataFrame:
+    """Recall of methods on the development questions; all share one computation of the scores."""
+    x, s = data(spark, d, DEV), Settings()
+    x = replace(x, scores=cut_lineage(RT.scored(x, ("bm25", "dense", "memory", "precise", "type_score"))))
+    known, parts = RT.methods(x, s, F.expr(IS_REFERENCE), said=stub_selector), []
+    for name in names:
+        rows = E.with_recall(x.questions, U.answers(known[name]()))
+        parts.append(E.evaluate(rows).withColumn("method", F.lit(name)))
     return reduce(DataFrame.unionByName, parts)
 
 
+@query
+def ablation(spark, d):
+    """All methods but the trained ones."""
+    return compared(spark, d, RT.UNTRAINED)
+
+
+@query
+def ablation_trained(spark, d):
+    """The trained rankers, of one model fitted on the reference."""
+    x, s = data(spark, d), Settings()
+    rows = RT.ranked_by_model(x, s, F.expr(IS_REFERENCE), s)
+    counts = x.reference.groupBy("doc_name").agg(F.count("*").alias("doc_count"))
+    both = {"doc_aware_ranker": RT.doc_aware_ranker(rows, s, RR.cosine_scorer), "routed_doc_aware": RT.routed_doc_aware(rows, s, counts)}
+    held = x.questions.where(F.col("split") == DEV)
+    return reduce(DataFrame.unionByName, (E.evaluate(E.with_recall(held, U.answers(r))).withColumn("method", F.lit(n)) for n, r in both.items()))
+
+
 @query
 def pair_examples(spark, d):
     pool = pools(spark, d, REFERENCE).join(scorer(table(spark, d, "scores"), "bm25"), KEYS)
@@ -539,21 +596,45 @@ def records_round_trip(spark, d):
     return records.record_candidates(parsed).select("q_id", F.col("cand_idx").cast("bigint").alias("cand_idx"), "quote_id", "modality", "page_id")
 
 
+@query
+def records_samples(spark, d):
+    """Questions written as JSON lines, read and made into questions again."""
+    s = table(spark, d, "samples")
+    s = latest(s.withColumn("q_id", X.strip("q_id")).where("q_id <> ''"), ["q_id"], [F.desc_nulls_last("ingested_at"), F.desc("sample_pos")])
+    path = fresh_path(spark)
+    fields = ["q_id", "old_id", "doc_name", "domain", "question", "question_type", "evidence_modality_type", "gold_quotes"]
+    s.select(F.to_json(F.struct(*fields)).alias("value")).write.text(path)
+    out = records.record_samples(records.read_records(spark, path))
+    return out.select("q_id", "old_id", "doc_name", "domain", "question", "question_type", F.array_join("types", "|").alias("types"), F.array_join("gold", "|").alias("gold"))
+
+
+@query
+def reranker_prompts(spark, d):
+    """The digest of the text that a causal reranker reads for each pair."""
+    prompt = X.reranker_prompt(RR.INSTRUCTION, "question", "doc_text")
+    return texts(pools(spark, d)).select(*KEYS, F.md5(prompt).alias("prompt"), F.length(prompt).cast("bigint").alias("n_chars"))
+
+
+@query
+def embedding_cache(spark, d):
+    """Which texts of all pools are found in a cache of the reference pools' texts, and which are encoded as misses; the
+    encoder here is a stub, a text's length."""
+    length = lambda x: F.array(F.length(x).cast("float"))
+    none = spark.createDataFrame([], "cache_key string, vector array<float>")
+    cache = cut_lineage(encoded(texts(pools(spark, d, REFERENCE)), "doc_text", "stub", length, none).select("cache_key", "vector"))
+    return encoded(texts(pools(spark, d)), "doc_text", "stub", length, cache).select("cache_key", F.col("vector")[0].cast("bigint").alias("n_chars"), "cached")
+
+
 @query
 def streamed_memory(spark, d):
     """Memory of the reference pools kept by a stream of their keys, for the data available now."""
-    import uuid
-
-    from evidentia.session import shared_folder
-    from evidentia.streaming.memory import maintain
+    from evidentia.streaming.memory import current, maintain
 
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    M.keyed(pools(spark, d, REFERENCE), tuple(M.PRECISE)).write.parquet(f"{folder}/keys")
+    folder = fresh_path(spark)
+    M.keyed(pools(spark, d, REFERENCE)).write.parquet(f"{folder}/keys")
     stream = spark.readStream.schema("q_id string, cand_idx bigint, is_gold boolean, key_name string, key string").parquet(f"{folder}/keys")
-    name = f"memory_{uuid.uuid4().hex}"
-    running = maintain(stream, f"{folder}/state", name)
-    running.awaitTermination()
-    return spark.table(name).select("key_name", F.md5("key").alias("key"), "candidate_cnt", "gold_cnt")
+    maintain(stream, folder).awaitTermination()
+    return current(spark, folder).select("key_name", F.md5("key").alias("key"), "candidate_cnt", "gold_cnt")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -42,15 +42,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     The table goes when Python ends. A table rather than checkpoint(): its plan starts anew, whereas a checkpoint keeps
     the constraints of the plans before it, which grow without bound over the rounds of a loop.
     """
-    spark = df.sparkSession
+    path = fresh_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fresh_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, which goes when Python ends."""
     folder = f"{shared_folder(spark)}/evidentia-{spark.sparkContext.applicationId}"
     if not _written:
         atexit.register(_delete_written)
     if (spark, folder) not in _written:
         _written.append((spark, folder))
-    path = f"{folder}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{folder}/{uuid.uuid4().hex}"
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:

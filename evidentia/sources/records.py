@@ -32,6 +32,22 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RECORD).option("mode", "FAILFAST").json(path)
 
 
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content): the pictures under a folder as they are stored, for an encoder's batches."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+
+def record_samples(records: DataFrame) -> DataFrame:
+    """Questions of records: ids stripped, a blank old_id as null, the question normalised, lists of stripped strings."""
+    empty = F.array().cast("array<string>")
+    old_id = X.strip("old_id")
+    return records.select(
+        X.strip("q_id").alias("q_id"), F.when(old_id != "", old_id).alias("old_id"), *(X.strip(c).alias(c) for c in ("doc_name", "domain", "question_type")),
+        X.normalize("question").alias("question"), F.transform(F.coalesce("evidence_modality_type", empty), X.strip).alias("types"),
+        F.transform(F.coalesce("gold_quotes", empty), X.strip).alias("gold"),
+    )
+
+
 def record_candidates(records: DataFrame) -> DataFrame:
     """Candidates of each record: its text quotes, then its image quotes; cand_idx is the place in both together.
 
