@@ -9,9 +9,9 @@ by winnowing, so that two texts with a common run choose the same terms in it. P
    space. It is fitted on the evaluation passages alone, as other directions say nothing about them.
 4. One pass over all passages of all documents that have enough terms of the evaluation set: TF-IDF, projection, cosine in
    the latent space with the block's passages.
-5. Candidates are checked: longest common subsequence with the item's whole text, all passages of an item at once; then
-   the longest common run, and for paraphrases numbers, names and the longest common subsequence with the passages they
-   come near to.
+5. Candidates are checked: for runs, whether the passage's first characters stand in the item, then the longest common
+   run; for paraphrases the longest common subsequence with the item's whole text, all passages of an item at once, then
+   numbers, names and the longest common subsequence with the passages they come near to.
 """
 
 from __future__ import annotations
@@ -64,14 +64,14 @@ def _slide(x: np.ndarray, width: int, f: np.ufunc) -> np.ndarray:
     return x
 
 
-def terms(points: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Winnowed n-grams of texts laid end to end, ``owner`` telling them apart: (hashes, places)."""
-    if len(points) < N_GRAM + WINNOW:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+def gram_hashes(points: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each ``width`` neighbouring code points, by doubling."""
+    if len(points) < width:
+        return np.empty(0, np.uint64)
     h = points.astype(np.uint64) + np.uint64(1)
-    parts, at, width, power = None, 0, 1, N_GRAM
+    parts, at, step, power = None, 0, 1, width
     multiplier = np.array([0x9E3779B97F4A7C15], np.uint64)
-    while power:  # n-grams by doubling
+    while power:
         if power & 1:
             piece = h[at:]
             if parts is None:
@@ -79,16 +79,22 @@ def terms(points: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray
             else:
                 m = min(len(parts), len(piece))
                 parts = parts[:m] * multiplier + piece[:m]
-            at += width
+            at += step
         power >>= 1
         if power:
-            h = h[:-width] * multiplier + h[width:]
-            width, multiplier = 2 * width, multiplier * multiplier
-    n = len(points) - N_GRAM + 1
-    h = parts[:n] * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(31)
+            h = h[:-step] * multiplier + h[step:]
+            step, multiplier = 2 * step, multiplier * multiplier
+    h = parts[: len(points) - width + 1] * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ h >> np.uint64(31)
+
+
+def terms(points: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Winnowed n-grams of texts laid end to end, ``owner`` telling them apart: (hashes, places)."""
+    if len(points) < N_GRAM + WINNOW:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    h = gram_hashes(points, N_GRAM)
     last = np.uint64(0xFFFFFFFFFFFFFFFF)
-    h[owner[:n] != owner[N_GRAM - 1 :]] = last
+    h[owner[: len(h)] != owner[N_GRAM - 1 :]] = last
     pad = np.full(WINNOW - 1, last)
     low = _slide(np.concatenate((pad, h, pad)), WINNOW, np.minimum)
     chosen = np.flatnonzero((_slide(low, WINNOW, np.maximum) == h) & (h != last))
@@ -336,16 +342,20 @@ def _block_leaks(docs: DataFrame, items: list[tuple[int, str]], n_docs: int, doc
     good = norms > 1e-9
     latent = (latent[good] / norms[good, None]).astype(np.float32)
     owners, origins = matrix["item"].to_numpy()[good], matrix["origin"].to_numpy()[good]
+    # A passage that begins in a run of ``least`` has its first ``core`` characters in it.
+    core = max(1, min(PASSAGE, least - STRIDE + 1))
+    cores = [gram_hashes(bare(t), core) * np.uint64(2 * i + 1) for i, (_, t) in enumerate(items)]
+    cores = np.unique(np.concatenate(cores)) if cores else np.empty(0, np.uint64)
     shared = spark.sparkContext.broadcast(
-        (vocabulary, _sieve(vocabulary), idf, space.astype(np.float32), latent, owners, origins, texts, answers, [k for k, _ in items])
+        (vocabulary, _sieve(vocabulary), idf, space.astype(np.float32), latent, owners, origins, texts, answers, [k for k, _ in items], cores)
     )
 
-    # A run of ``least`` leaves at least so many terms to a passage that begins in it, as of each WINNOW n-grams one is a term.
+    # Such a passage has at least so many terms of the item, as of each WINNOW n-grams one is a term.
     of_run = (least - STRIDE + 1 - N_GRAM + 1) // WINNOW
     least_cosine, shared_terms = COSINE, max(1, min(of_run, TERMS) if judged else of_run)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary, sieve, idf, space, latent, owners, origins, texts, answers, keys = shared.value
+        vocabulary, sieve, idf, space, latent, owners, origins, texts, answers, keys, cores = shared.value
         tile = max(16, TILE // max(1, len(latent)))
         columns = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
         for b in batches:
@@ -361,6 +371,15 @@ def _block_leaks(docs: DataFrame, items: list[tuple[int, str]], n_docs: int, doc
                 starts = _windows(points, owner, STRIDE)
                 first, last = _spans(starts, owner, places)
                 last = np.maximum(first, last)
+                head = gram_hashes(points, core)
+
+                def run_like(start: np.ndarray, item: np.ndarray, head: np.ndarray = head) -> np.ndarray:
+                    """Whether the first characters of the passages stand in the items."""
+                    if not len(head) or not len(cores):
+                        return np.zeros(len(start), bool)
+                    x = head[np.minimum(start, len(head) - 1)] * (2 * item + 1).astype(np.uint64)
+                    return (cores[np.minimum(np.searchsorted(cores, x), len(cores) - 1)] == x) & (start < len(head))
+
                 some = np.flatnonzero(so_far[last] - so_far[first] >= shared_terms)
                 near: list[tuple[np.ndarray, ...]] = []
                 for at in range(0, len(some), tile):
@@ -373,7 +392,10 @@ def _block_leaks(docs: DataFrame, items: list[tuple[int, str]], n_docs: int, doc
                     z = _times(row, t, idf[t], len(chosen), space)
                     z /= np.maximum(np.linalg.norm(z, axis=1), 1e-12)[:, None]
                     cosines = z.astype(np.float32) @ latent.T
-                    p, q = np.nonzero(cosines >= least_cosine)
+                    p, q = np.divmod(np.flatnonzero(cosines >= least_cosine), len(latent))
+                    if not judged:
+                        kept = run_like(starts[chosen[p]], owners[q])
+                        p, q = p[kept], q[kept]
                     near.append((starts[chosen[p]], q, cosines[p, q]))
                 if not near:
                     continue
@@ -389,10 +411,9 @@ def _block_leaks(docs: DataFrame, items: list[tuple[int, str]], n_docs: int, doc
                 bound = np.append(group, len(start))
                 text_end = np.searchsorted(owner, owner[start[group]], "right")
                 length = np.minimum(PASSAGE, text_end - start[group])
-                common = _common_subsequences(points, start[group], length, item[group], columns)
-                # A common run of ``least`` leaves all but STRIDE - 1 of its characters to a passage that begins in it.
-                run_like = np.maximum(1, np.minimum(length, least) - STRIDE + 1)
-                kept = np.flatnonzero(common >= (np.minimum(np.ceil(share * length), run_like) if judged else run_like))
+                runs = run_like(start[group], item[group]) if judged else np.ones(len(group), bool)
+                common = _common_subsequences(points, start[group], length, item[group], columns) if judged else length
+                kept = np.flatnonzero(runs | (common >= share * length))
                 for g in kept:
                     s, i = int(start[group[g]]), int(item[group[g]])
                     pair = out.setdefault((ids[owner[s]], i), [0.0, 0, 0.0, set()])
@@ -400,7 +421,7 @@ def _block_leaks(docs: DataFrame, items: list[tuple[int, str]], n_docs: int, doc
                     lo, hi = int(np.searchsorted(owner, owner[s])), int(text_end[g])
                     whole = texts[i]
                     bin_ = s // PASSAGE
-                    if common[g] >= run_like[g] and bin_ not in pair[3]:  # one region holds the runs of all passages of its bin
+                    if runs[g] and bin_ not in pair[3]:  # one region holds the runs of all passages of its bin
                         pair[3].add(bin_)
                         reach = len(whole) + PASSAGE
                         region = _decode(points[max(lo, bin_ * PASSAGE - reach) : min(hi, (bin_ + 1) * PASSAGE + reach)])
