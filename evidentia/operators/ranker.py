@@ -14,7 +14,7 @@ from evidentia.operators.dense import dense
 from evidentia.operators.fusion import linear
 from evidentia.operators.lexical import bm25
 from evidentia.operators.ranking import context_boost, group_best, minmax, rank_percentile
-from evidentia.session import cut_lineage
+from evidentia.session import checkpoints, cut_lineage
 
 WEIGHTS = {"bm25": 0.2, "dense": 0.65, "memory": 0.55, "similar": 0.15, "type_score": 0.0}
 PRECISIONS = ("doc_content", "doc_page_layout_type", "doc_page_type", "doc_layout_type", "global_content")
@@ -100,9 +100,10 @@ def fit(training: DataFrame, positive_weight: float = 4.0, iterations: int = 220
     each = domain_weights(training.select("q_id", "domain").distinct().select("domain"), domain_balance)
     rows = training.join(F.broadcast(each.select("domain", F.col("weight").alias("_domain_weight"))), "domain")
     weight = F.when(F.col("is_gold"), positive_weight).otherwise(1.0) * F.col("_domain_weight")
+    checkpoints(rows.sparkSession)  # every tenth iteration's residuals, whose lineage would grow with the iterations
     rows = cut_lineage(rows.select(*FEATURES, F.col("is_gold").cast("double").alias("label"), weight.alias("weight")))
     trees = GBTClassifier(
-        maxIter=iterations, stepSize=step, maxDepth=depth, maxBins=255, minInstancesPerNode=leaf, weightCol="weight", seed=seed, checkpointInterval=-1
+        maxIter=iterations, stepSize=step, maxDepth=depth, maxBins=255, minInstancesPerNode=leaf, weightCol="weight", seed=seed, checkpointInterval=10
     )
     return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), trees]).fit(rows)
 

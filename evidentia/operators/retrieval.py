@@ -141,13 +141,15 @@ def fused(data: Data, s: Settings, memory: bool, typed: bool) -> DataFrame:
     columns = tuple(weights) + (("precise",) if memory and s.force_memory_top else ())
     rows = scored(data, columns, s.similar_topn)
     rows = rows.withColumn("score", U.linear({f"{c}_norm": w for c, w in weights.items()}) if weights else F.lit(0.0))
+    if s.page_weight or s.layout_weight:  # read several times by the boost
+        rows = cut_lineage(rows)
     return K.context_boost(rows, "score", s.page_weight, s.layout_weight)
 
 
 def _reranked(rows: DataFrame, score: str, scorer: RR.Scorer, s: Settings, weight: float | None = None) -> DataFrame:
     """The first rerank_topk or top_k of each question by ``score`` with their rank after reranking."""
     most = max(s.rerank_topk, s.top_k)
-    head = K.top_k(rows, score, most).withColumnRenamed("rank", "base_rank")
+    head = cut_lineage(K.top_k(rows, score, most).withColumnRenamed("rank", "base_rank"))
     return RR.rerank(head, score, scorer, s.rerank_topk, s.reranker_weight if weight is None else weight)
 
 

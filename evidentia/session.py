@@ -27,6 +27,12 @@ def shared_folder(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
+def checkpoints(spark: SparkSession) -> None:
+    """Let checkpoint() write to the shared folder, unless the session already names one."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(fresh_path(spark))
+
+
 def _delete_written() -> None:
     for spark, path in _written:
         try:
